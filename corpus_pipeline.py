@@ -1,12 +1,66 @@
-"""A corpus pipeline: quality rules, near duplicates, secrets, packing."""
+"""A corpus pipeline: quality rules, near duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``. :func:`run` applies them to ``documents``, each result written as
+Parquet in the shared folder and read again.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from umbra.llm import ngrams, packing, quality, secrets
+from umbra.llm.registry import SEQUENCE
+from umbra.llm.shared import cut, fresh, join_small
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without their boilerplate lines."""
+    return quality.clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near duplicates; one of those with equal ids and texts."""
+    clusters = ngrams.cluster(docs)
+    gone = cut(clusters.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct())
+    left = join_small(docs, gone, ["doc_id"], "left_anti")
+    copy = fresh(left, "__copy")
+    named = left.withColumn(copy, F.xxhash64("doc_id", "text"))
+    again = cut(named.groupBy(copy).agg(F.count("*").alias("n")).filter("n > 1").select(copy))
+    if again.isEmpty():
+        return left
+    single = join_small(named, again, [copy], "left_anti")
+    return single.unionByName(join_small(named, again, [copy], "left_semi").dropDuplicates([copy])).drop(copy)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets masked."""
+    return secrets.mask(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    tokenized = packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, SEQUENCE)
+    return packing.pack(tokenized, SEQUENCE)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scans", secret_scans), ("best_fit_packing", best_fit_packing)]
 
-STAGES = []
+#: Tokenisers, guess costs and a genetic algorithm are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on the ``documents`` in ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="umbra-")
+    for name, stage in STAGES:
+        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

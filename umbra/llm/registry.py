@@ -8,17 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, packing, pieces, quality, secrets, urls
+from . import ann, bpe, likelihood, ngrams, packing, pieces, quality, secrets, surrogates, urls
 
 #: (verdict, host/path)
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 TOKEN_LIMIT, SEQUENCE, QUERY_STEP = 4096, 2048, 100
+#: A deployment passes its own key to ``surrogates.replace``.
+SURROGATE_KEY = "umbra"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.cluster(_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -31,6 +37,11 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.filter(F.col("vec_id") % QUERY_STEP == 0), k=10)
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = surrogates.replace(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))), ",").alias("spans"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *secrets.digest(F.col("secrets")))
@@ -48,13 +59,17 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenized = packing.tokenize(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, SEQUENCE)
     return packing.pack(tokenized, SEQUENCE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_nearest, op5_secrets, op6_quality, op7_token_counts, op8_url_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_byte_bpe, op3_nearest, op4_surrogates, op5_secrets, op6_quality, op7_token_counts, op8_url_rules, op9_pseudo_likelihood, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

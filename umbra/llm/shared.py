@@ -26,3 +26,11 @@ def join_small(large: DataFrame, small: DataFrame, on: list[str], how: str, most
     """Join with ``small``, broadcast only if a count of it (cheap: it has been cut) shows at most ``most`` rows."""
     few = small.limit(most + 1).count() <= most
     return large.join(F.broadcast(small) if few else small.hint("shuffle_hash") if how == "inner" else small, on, how)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
