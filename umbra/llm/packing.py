@@ -18,8 +18,8 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,62 +178,63 @@ def pack(tokenized: DataFrame, capacity: int, id_col: str = "doc_id", island: in
     repeated ids too; an empty table gives an empty table.
     """
     docs = cut(tokenized)
-    n = docs.count()
-    islands = max(1, math.ceil(n / island))
-    extra = [T.StructField("__ids", T.ArrayType(T.IntegerType()))] if "__ids" in docs.columns else []
-    own = T.StructType([T.StructField("__island", T.LongType()), docs.schema[id_col], T.StructField("__n", T.LongType()), T.StructField("__crcs", T.ArrayType(T.LongType())), *extra, T.StructField("__bin", T.LongType()), T.StructField("__pattern", T.ArrayType(T.LongType()))])
-    dealt = docs.withColumn("__island", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(islands)))
-
-    def first(group: pd.DataFrame) -> pd.DataFrame:
-        at = int(group["__island"].iloc[0])
-        length = ((group["__n"] - 1) % capacity + 1).tolist()
+    islands = max(1, math.ceil(docs.count() / island))
+    with_ids = "__ids" in docs.columns
+    payload = ["__id", "__n", "__crcs"] + ["__ids"] * with_ids
+    types = [docs.schema[id_col].dataType, T.LongType(), T.ArrayType(T.LongType())] + [T.ArrayType(T.IntegerType())] * with_ids
+    own = T.StructType([T.StructField(a, b) for a, b in zip(["__island", *payload, "__bin", "__pattern"], [T.LongType(), *types, T.LongType(), T.ArrayType(T.LongType())], strict=True)])
+    dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(islands)).alias("__island"), F.col(id_col).alias("__id"), *payload[1:])
+
+    def first(group: pa.Table) -> pa.Table:
+        at = group.column("__island")[0].as_py()
+        length = (group.column("__n").to_numpy() - 1) % capacity + 1
+        length = length.tolist()
         best = evolve(length, capacity, seed + at)
         where = np.zeros(len(length), np.int64)
         for k, b in enumerate(best):
             where[b] = k
-        elite = sorted(best, key=lambda b: -sum(length[i] for i in b))[:ELITES] if islands > 1 else []
-        out = group.assign(__bin=where, __pattern=None)
-        guests = pd.DataFrame({"__island": (at + 1) % islands, "__pattern": [sorted((length[i] for i in b), reverse=True) for b in elite]}).reindex(columns=out.columns)
-        return pd.concat([out, guests], ignore_index=True)[own.names] if elite else out[own.names]
-
-    names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * bool(extra)
-    kinds = [docs.schema[id_col].dataType, T.IntegerType(), *[T.LongType()] * 5] + [T.ArrayType(T.IntegerType())] * bool(extra)
-    result = T.StructType([T.StructField(a, b) for a, b in zip(names, kinds, strict=True)])
-
-    def second(group: pd.DataFrame) -> pd.DataFrame:
-        at = int(group["__island"].iloc[0])
-        guests = [tuple(int(x) for x in p) for p in group["__pattern"][group["__bin"].isna()]]
-        group = group[group["__bin"].notna()].reset_index(drop=True)
-        total = group["__n"].astype("int64").tolist()
+        patterns = pa.list_(pa.int64())
+        out = group.append_column("__bin", pa.array(where)).append_column("__pattern", pa.nulls(len(length), patterns))
+        if islands == 1:
+            return out
+        elite = sorted(best, key=lambda b: -sum(length[i] for i in b))[:ELITES]
+        columns = {x.name: pa.nulls(len(elite), x.type) for x in out.schema}
+        columns["__island"] = pa.array([(at + 1) % islands] * len(elite), pa.int64())
+        columns["__pattern"] = pa.array([sorted((length[i] for i in b), reverse=True) for b in elite], patterns)
+        return pa.concat_tables([out, pa.table(columns)])
+
+    names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
+    result = T.StructType([T.StructField(a, b) for a, b in zip(names, [types[0], T.IntegerType(), *[T.LongType()] * 5, *types[3:]], strict=True)])
+
+    def second(group: pa.Table) -> pa.Table:
+        at = group.column("__island")[0].as_py()
+        guests = sorted(tuple(p) for p in group.column("__pattern").drop_null().to_pylist())
+        group = group.filter(pc.is_valid(group.column("__bin")))
+        total = group.column("__n").to_pylist()
         length = [(x - 1) % capacity + 1 for x in total]
         bins: dict[int, list[int]] = defaultdict(list)
-        for i, b in enumerate(group["__bin"].astype("int64").tolist()):
+        for i, b in enumerate(group.column("__bin").to_pylist()):
             bins[b].append(i)
-        best = evolve(length, capacity, seed + at + islands, list(bins.values()) or None, sorted(guests))
-        out: dict[str, list] = {x: [] for x in names}
-        ids, crcs = group[id_col].tolist(), group["__crcs"].tolist()
-        all_ids = group["__ids"].tolist() if extra else None
+        best = evolve(length, capacity, seed + at + islands, list(bins.values()) or None, guests)
+        crcs = group.column("__crcs").to_pylist()
+        rows: list[tuple[int, int, int, int, int, int, int]] = []  # item, piece, start, length, CRC-32, sequence, offset
         number = at << 32
-
-        def put(i: int, piece: int, bounds: tuple[int, int], offset: int) -> None:
-            row = (ids[i], piece, bounds[0], bounds[1] - bounds[0], int(crcs[i][piece]), number, offset)
-            for name, value in zip(names, row, strict=False):
-                out[name].append(value)
-            if extra:
-                out["ids"].append(all_ids[i][bounds[0] : bounds[1]])
-
         for b in best:
             offset = 0
             for i in b:
-                put(i, 0, (0, length[i]), offset)
+                rows.append((i, 0, 0, length[i], crcs[i][0], number, offset))
                 offset += length[i]
             number += 1
         for i, x in enumerate(total):
-            for piece, bounds in enumerate(piece_bounds(x, capacity)):
+            for piece, (begin, end) in enumerate(piece_bounds(x, capacity)):
                 if piece:
-                    put(i, piece, bounds, 0)
+                    rows.append((i, piece, begin, end - begin, crcs[i][piece], number, 0))
                     number += 1
-        return pd.DataFrame({k: pd.Series(v, dtype="object" if k in (id_col, "ids") else "int64") for k, v in out.items()})
-
-    bred = dealt.select("__island", id_col, "__n", "__crcs", *(["__ids"] if extra else [])).groupBy("__island").applyInPandas(first, own)
-    return bred.groupBy("__island").applyInPandas(second, result)
+        columns = np.array(rows, np.int64).reshape(-1, 7).T
+        out = [group.column("__id").take(pa.array(columns[0])), pa.array(columns[1].astype(np.int32)), *(pa.array(c) for c in columns[2:])]
+        if with_ids:
+            all_ids = group.column("__ids").to_pylist()
+            out.append(pa.array([all_ids[r[0]][r[2] : r[2] + r[3]] for r in rows], pa.list_(pa.int32())))
+        return pa.table(out, names)
+
+    return dealt.groupBy("__island").applyInArrow(first, own).groupBy("__island").applyInArrow(second, result)
