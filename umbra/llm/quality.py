@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import sub_batches
-from .shared import cut, join_small
+from .shared import BROADCAST_ROWS, cut, fresh, join_small
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -174,9 +174,11 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     Documents are told apart by ``id_col``: of rows with the same id, all go if one is rejected.
     A null id is never rejected by its neighbours' verdicts: such rows are judged as one document.
     """
-    verdicts = cut(judge(df, id_col, text_col, host_col, **limits).filter(~F.col("kept") | (F.size("lost_lines") > 0)).groupBy(F.col(id_col).alias("__id")).agg(F.min("kept").alias("__kept"), F.flatten(F.collect_list("lost_lines")).alias("__lost")))
-    few = verdicts.limit(100_001).count() <= 100_000
-    marked = df.join(F.broadcast(verdicts) if few else verdicts, df[id_col].eqNullSafe(verdicts["__id"]), "left").filter(F.coalesce("__kept", F.lit(True)))
+    own, keep, gone = fresh(df, "__judged"), fresh(df, "__keep"), fresh(df, "__gone")
+    verdicts = judge(df, id_col, text_col, host_col, **limits).filter(~F.col("kept") | (F.size("lost_lines") > 0)).groupBy(F.col(id_col).alias(own))
+    verdicts = cut(verdicts.agg(F.min("kept").alias(keep), F.flatten(F.collect_list("lost_lines")).alias(gone)))
+    few = verdicts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    marked = df.join(F.broadcast(verdicts) if few else verdicts, df[id_col].eqNullSafe(verdicts[own]), "left").filter(F.coalesce(keep, F.lit(True)))
     names, schema = df.columns, df.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,4 +200,4 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
                     columns[own] = pa.array(sizes, columns[own].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return marked.drop("__id", "__kept").mapInArrow(run, schema)
+    return marked.drop(own, keep).mapInArrow(run, schema)
