@@ -23,7 +23,8 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    yield ship(session)
+    ship(session).sparkContext.environment["PYTHONPATH"] += os.pathsep + os.path.join(ROOT, "tests")  # backends of tests
+    yield session
     session.stop()
 
 

@@ -7,6 +7,7 @@ import string
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the default placeholder.
 TEMPLATE = "[REDACTED: {label}{suffix}]"
@@ -26,7 +27,7 @@ def placeholder(template: str, label: Column, suffix: Column) -> Column:
         parts.append(label if field == "label" else suffix)
     if plain:
         return F.concat(F.lit(""), *parts)
-    raise ValueError("format specifications need formatted_placeholders()")
+    raise ValueError("format specifications need formatted_splice()")
 
 
 def has_format_spec(template: str) -> bool:
@@ -34,22 +35,36 @@ def has_format_spec(template: str) -> bool:
     return any(field is not None and (spec or conversion) for _, field, spec, conversion in string.Formatter().parse(template))
 
 
-def formatted_placeholders(template: str):
-    """Arrow function for templates with format specifications: arrays of labels and suffixes to placeholders."""
+def formatted_splice(template: str):
+    """Arrow function for templates with format specifications: text, starts, ends, labels and suffixes to the redacted text."""
     template.format(label="", suffix="")
 
-    @F.pandas_udf("array<string>")
-    def fill(labels: pd.Series, suffixes: pd.Series) -> pd.Series:
-        return pd.Series([[template.format(label=a, suffix=b) for a, b in zip(x, y, strict=True)] for x, y in zip(labels, suffixes, strict=True)])
+    @F.pandas_udf(T.StringType())
+    def fill(texts: pd.Series, starts: pd.Series, ends: pd.Series, labels: pd.Series, marks: pd.Series) -> pd.Series:
+        out = []
+        for text, *matches in zip(texts, starts, ends, labels, marks, strict=True):
+            parts, at = [], 0
+            for start, end, label, suffix in zip(*matches, strict=True):
+                parts += [text[at:start], template.format(label=label, suffix=suffix)]
+                at = end
+            out.append(None if text is None else "".join([*parts, text[at:]]))
+        return pd.Series(out, dtype=object)
 
     return fill
 
 
-def suffixes(matches: Column, numbering: bool = True) -> Column:
-    """`` #n`` for each match: its value's place among the values of its label, if the label has several."""
+def numbered(matches: Column) -> Column:
+    """The different (label, value) pairs in order of first appearance."""
+    return F.array_distinct(F.transform(matches, lambda m: F.struct(m["label"].alias("label"), m["value"].alias("value"))))
+
+
+def suffixes(matches: Column, pairs: Column, numbering: bool = True) -> Column:
+    """`` #n`` for each match: its value's place among the values of its label, if the label has several.
+
+    ``pairs``: a column of :func:`numbered`, so that it is not computed anew for each match.
+    """
     if not numbering:
         return F.transform(matches, lambda m: F.lit(""))
-    pairs = F.array_distinct(F.transform(matches, lambda m: F.struct(m["label"].alias("label"), m["value"].alias("value"))))
 
     def suffix(m: Column) -> Column:
         same = F.filter(pairs, lambda p: p["label"] == m["label"])
@@ -62,10 +77,11 @@ def suffixes(matches: Column, numbering: bool = True) -> Column:
 def splice(text: Column, matches: Column, placeholders: Column) -> Column:
     """``text`` with each match (sorted, not overlapping) replaced by the placeholder of the same place."""
 
-    def piece(m: Column, i: Column) -> Column:
+    def piece(x: Column, i: Column) -> Column:
         before = F.coalesce(F.get(matches, i - 1)["end"], F.lit(0))
-        return F.concat(F.substr(text, before + 1, m["start"] - before), F.get(placeholders, i))
+        return F.concat(F.substr(text, before + 1, x["m"]["start"] - before), x["p"])
 
+    pairs = F.arrays_zip(matches.alias("m"), placeholders.alias("p"))  # an argument: within the function it could be computed for each match
     tail = F.expr("int(2147483647)")
     end = F.get(matches, F.size(matches) - 1)["end"]
-    return F.when(F.size(matches) == 0, text).otherwise(F.concat(F.array_join(F.transform(matches, piece), ""), F.substr(text, end + 1, tail)))
+    return F.when(F.size(matches) == 0, text).otherwise(F.concat(F.array_join(F.transform(pairs, piece), ""), F.substr(text, end + 1, tail)))

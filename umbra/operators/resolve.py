@@ -35,7 +35,7 @@ def resolve(matches: Column) -> Column:
         opened = F.struct(closed(acc).alias("done"), m["start"].alias("lo"), m["end"].alias("hi"), m.alias("rep"))
         return F.when(m["start"] < acc["hi"], joined).otherwise(opened)
 
-    return F.when(F.size(matches) < 2, matches).otherwise(F.aggregate(F.array_sort(matches), start, step, closed))
+    return F.aggregate(F.array_sort(matches), start, step, closed)
 
 
 def resolve_relational(exploded: DataFrame, key: str) -> DataFrame:

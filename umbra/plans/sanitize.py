@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.config import Config
-from umbra.operators.detect import MATCHES, allow, detect
+from umbra.operators.detect import allow, detect
 from umbra.operators.python_rules import Backend, HttpBackend, model_rule, regex_rule
-from umbra.operators.redact import TEMPLATE, formatted_placeholders, has_format_spec, placeholder, splice, suffixes
+from umbra.operators.redact import TEMPLATE, formatted_splice, has_format_spec, numbered, placeholder, splice, suffixes
 from umbra.operators.resolve import resolve
 from umbra.operators.specs import DetectorSpec, active_specs
 
@@ -51,17 +51,12 @@ class Sanitizer:
 
     def sanitize(self, df: DataFrame, text: str = "text", out: str = "sanitized") -> DataFrame:
         """Resolved ``matches``, ``redaction_count`` and the sanitised text; a null text stays null."""
-        found = self.scan(df, text).withColumn("redaction_count", F.size("matches"))
+        found = self.scan(df, text).withColumn("redaction_count", F.size("matches")).withColumn("__pairs", numbered(F.col("matches")))
         m = F.col("matches")
+        marks = suffixes(m, F.col("__pairs"), self.numbering)
         if has_format_spec(self.template):
-            found = found.withColumn("__suffixes", suffixes(m, self.numbering))
-            filled = formatted_placeholders(self.template)(F.col("matches.label"), F.col("__suffixes"))
-            return found.withColumn("__filled", filled).withColumn(out, splice(F.col(text), m, F.col("__filled"))).drop("__suffixes", "__filled")
-        # only rows with findings pay for numbering and splicing
-        marks = F.zip_with(m, suffixes(m, self.numbering), lambda x, s: placeholder(self.template, x["label"], s))
-        return found.withColumn("__filled", F.when(F.size(m) > 0, marks).otherwise(F.array().cast("array<string>"))).withColumn(out, splice(F.col(text), m, F.col("__filled"))).drop("__filled")
-
-
-def no_matches() -> Column:
-    """An empty array of matches."""
-    return F.array().cast(MATCHES)
+            found = found.withColumn("__suffixes", marks)
+            done = formatted_splice(self.template)(F.col(text), F.col("matches.start"), F.col("matches.end"), F.col("matches.label"), F.col("__suffixes"))
+            return found.withColumn(out, done).drop("__pairs", "__suffixes")
+        filled = F.zip_with(m, marks, lambda x, s: placeholder(self.template, x["label"], s))
+        return found.withColumn("__filled", filled).withColumn(out, splice(F.col(text), m, F.col("__filled"))).drop("__pairs", "__filled")
