@@ -25,16 +25,16 @@ from .shared import cut, join_small
 KINDS = ("email", "phone", "card", "ssn", "ip", "iban", "first_female", "first_male", "first_any", "surname")
 TRIES = 40
 
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_TAIL = r"[\s.-]?\d{3,4}[\s.-]?\d{3,4}"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_TAIL = r"[\s.-]?[0-9]{3,4}[\s.-]?[0-9]{3,4}"
 #: kind, confidence where entities overlap, regex gate, pattern
 NUMBERS = (
-    ("email", 0.95, "@", r"[\p{L}0-9._%+-]+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.\p{L}{2,}"),
-    ("iban", 0.94, r"\b[A-Z]{2}\d\d ?[A-Z0-9]{4}", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("card", 0.9, r"(?:\d[ -]?){12}\d", r"\b\d(?:[ -]?\d){12,18}\b"),
-    ("ssn", 0.85, r"\d-\d\d-\d", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("ip", 0.8, r"\d\.\d", rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"),
-    ("phone", 0.7, r"[+(]\d|\d{3}[ .-]\d{3}[ .-]\d{4}", rf"(?<!\w)(?:\+\d{{1,3}}[\s.-]?\(?\d{{1,4}}\)?{_TAIL}|\(\d{{2,4}}\){_TAIL}|\d{{3}}([ .-])\d{{3}}\1\d{{4}}|\+\d{{8,15}})(?!\w)"),
+    ("email", 0.95, "@", r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.\p{L}{2,}"),
+    ("iban", 0.94, r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("card", 0.9, r"[0-9](?:[ -]?[0-9]){12}", r"\b[0-9](?:[ -]?[0-9]){12,18}\b"),
+    ("ssn", 0.85, r"[0-9]-[0-9]{2}-[0-9]", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
+    ("ip", 0.8, r"[0-9]\.[0-9]", rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.[0-9])"),
+    ("phone", 0.7, r"[+(][0-9]|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}", rf"(?<!\w)(?:\+[0-9]{{1,3}}[\s.-]?\(?[0-9]{{1,4}}\)?{_TAIL}|\([0-9]{{2,4}}\){_TAIL}|[0-9]{{3}}([ .-])[0-9]{{3}}\1[0-9]{{4}}|\+[0-9]{{8,15}})(?!\w)"),
 )
 
 # Titles by gender, and first names by gender and script.
@@ -64,15 +64,15 @@ ENDINGS = {
 _NAME = r"\p{Lu}\p{L}+(?:[-'’]\p{Lu}\p{L}+)?"
 
 
-def _person_spans(text: Column, pattern: str, group: int, kind: str, confidence: float, gate: str) -> Column:
+def _person_spans(text: Column, pattern: str, group: int, kind: str, confidence: float) -> Column:
     """Group ``group`` of each match of ``pattern``, whose groups before it are one after another."""
+
     def shaped(s: Column) -> Column:
-        value = F.regexp_extract(s["value"], pattern, group)
+        value = F.rtrim(F.regexp_extract(s["value"], pattern, group))
         before = reduce(lambda a, g: a + F.length(F.regexp_extract(s["value"], pattern, g)), range(1, group), s["start"] + F.lit(0))
         return _match(before, before + F.length(value), kind, value, confidence)
 
-    found = F.filter(F.transform(spans(text, pattern), shaped), lambda m: m["end"] > m["start"])
-    return F.when(text.rlike(gate), found.cast(MATCHES)).otherwise(F.array().cast(MATCHES))
+    return F.filter(F.transform(spans(text, pattern), shaped), lambda m: m["end"] > m["start"]).cast(MATCHES)
 
 
 def _match(start: Column, end: Column, kind: str, value: Column, confidence: float) -> Column:
@@ -96,26 +96,28 @@ def _mod97(value: Column) -> Column:
 
 
 def find(text: Column) -> Column:
-    """The entities of a text as an array of matches, sorted and not overlapping; a null text has none."""
-    found = []
+    """The entities of a text as an array of matches, sorted and not overlapping; a null text has none.
+
+    Most texts hold no digit, or no two capitalised words in a row, and cost one look for each.
+    """
+    none, numbers, persons = F.array().cast(MATCHES), [], []
     for kind, confidence, gate, pattern in NUMBERS:
         hits = spans(text, "(?U)" + pattern)
         if kind == "card":
             hits = F.filter(hits, lambda s: F.call_function("luhn_check", F.regexp_replace(s["value"], "[ -]", "")))
         if kind == "iban":
             hits = F.filter(hits, lambda s: iban_ok(F.regexp_replace(s["value"], " ", "")))
-        hits = F.transform(hits, _shaper(kind, confidence)).cast(MATCHES)
-        found.append(F.when(text.rlike("(?U)" + gate) if gate != "@" else F.contains(text, F.lit("@")), hits).otherwise(F.array().cast(MATCHES)))
+        numbers.append(F.when(text.rlike(gate), F.transform(hits, _shaper(kind, confidence)).cast(MATCHES)).otherwise(none))
     for kind, titles in (("first_female", FEMALE_TITLES), ("first_male", MALE_TITLES), ("first_any", OTHER_TITLES)):
         title = rf"(?U)((?<!\w)(?:{'|'.join(titles)})\.?[ ])({_NAME}[ ])?({_NAME})"
-        gate = rf"(?U)(?<!\w)(?:{'|'.join(titles)})\.? \p{{Lu}}"
-        found.append(F.transform(_person_spans(text, title, 2, kind, 0.6, gate), lambda m: m.withField("value", F.rtrim(m["value"])).withField("end", m["end"] - 1)))
-        found.append(_person_spans(text, title, 3, "surname", 0.6, gate))
+        persons += [_person_spans(text, title, 2, kind, 0.6), _person_spans(text, title, 3, "surname", 0.6)]
     for kind, names in (("first_female", FEMALE_NAMES), ("first_male", MALE_NAMES)):
-        full = rf"(?U)()((?<!\w)(?:{'|'.join(names)}))([ ])({_NAME})"
-        gate = rf"(?U)(?<!\w)(?:{'|'.join(names)}) \p{{Lu}}"
-        found += [_person_spans(text, full, 2, kind, 0.61, gate), _person_spans(text, full, 4, "surname", 0.61, gate)]
-    return F.when(text.isNull(), F.array().cast(MATCHES)).otherwise(resolve(F.concat(*found)))
+        full = rf"(?U)((?<!\w)(?:{'|'.join(names)}))([ ])({_NAME})"
+        persons += [_person_spans(text, full, 1, kind, 0.61), _person_spans(text, full, 3, "surname", 0.61)]
+    email, others = numbers[0], numbers[1:]
+    titled = "|".join(t for t in FEMALE_TITLES + MALE_TITLES + OTHER_TITLES if t.isascii())
+    capitals = text.rlike(rf"\p{{L}} \p{{Lu}}\p{{L}}|\b(?:{titled})\. \p{{Lu}}")
+    return resolve(F.concat(email, F.when(text.rlike("[0-9]"), F.concat(*others)).otherwise(none), F.when(capitals, F.concat(*persons)).otherwise(none)))
 
 
 def _shaper(kind: str, confidence: float):
