@@ -35,20 +35,26 @@ def has_format_spec(template: str) -> bool:
     return any(field is not None and (spec or conversion) for _, field, spec, conversion in string.Formatter().parse(template))
 
 
-def formatted_splice(template: str):
-    """Arrow function for templates with format specifications: text, starts, ends, labels and suffixes to the redacted text."""
+def formatted_splice(template: str, numbering: bool = True):
+    """Arrow function for templates with format specifications: text, starts, ends, labels and values to the redacted text."""
     template.format(label="", suffix="")
 
+    def one(text: str | None, starts: list[int], ends: list[int], labels: list[str], values: list[str]) -> str | None:
+        if text is None:
+            return None
+        seen: dict[str, dict[str, int]] = {}
+        for label, value in zip(labels, values, strict=True):
+            seen.setdefault(label, {}).setdefault(value, len(seen[label]) + 1)
+        parts, at = [], 0
+        for start, end, label, value in zip(starts, ends, labels, values, strict=True):
+            suffix = f" #{seen[label][value]}" if numbering and len(seen[label]) > 1 else ""
+            parts += [text[at:start], template.format(label=label, suffix=suffix)]
+            at = end
+        return "".join([*parts, text[at:]])
+
     @F.pandas_udf(T.StringType())
-    def fill(texts: pd.Series, starts: pd.Series, ends: pd.Series, labels: pd.Series, marks: pd.Series) -> pd.Series:
-        out = []
-        for text, *matches in zip(texts, starts, ends, labels, marks, strict=True):
-            parts, at = [], 0
-            for start, end, label, suffix in zip(*matches, strict=True):
-                parts += [text[at:start], template.format(label=label, suffix=suffix)]
-                at = end
-            out.append(None if text is None else "".join([*parts, text[at:]]))
-        return pd.Series(out, dtype=object)
+    def fill(texts: pd.Series, starts: pd.Series, ends: pd.Series, labels: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([one(*row) for row in zip(texts, starts, ends, labels, values, strict=True)], dtype=object)
 
     return fill
 

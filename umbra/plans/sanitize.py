@@ -51,12 +51,11 @@ class Sanitizer:
 
     def sanitize(self, df: DataFrame, text: str = "text", out: str = "sanitized") -> DataFrame:
         """Resolved ``matches``, ``redaction_count`` and the sanitised text; a null text stays null."""
-        found = self.scan(df, text).withColumn("redaction_count", F.size("matches")).withColumn("__pairs", numbered(F.col("matches")))
+        found = self.scan(df, text).withColumn("redaction_count", F.size("matches"))
         m = F.col("matches")
-        marks = suffixes(m, F.col("__pairs"), self.numbering)
         if has_format_spec(self.template):
-            found = found.withColumn("__suffixes", marks)
-            done = formatted_splice(self.template)(F.col(text), F.col("matches.start"), F.col("matches.end"), F.col("matches.label"), F.col("__suffixes"))
-            return found.withColumn(out, done).drop("__pairs", "__suffixes")
+            return found.withColumn(out, formatted_splice(self.template, self.numbering)(F.col(text), m["start"], m["end"], m["label"], m["value"]))
+        found = found.withColumn("__pairs", numbered(m))
+        marks = suffixes(m, F.col("__pairs"), self.numbering)
         filled = F.zip_with(m, marks, lambda x, s: placeholder(self.template, x["label"], s))
         return found.withColumn("__filled", filled).withColumn(out, splice(F.col(text), m, F.col("__filled"))).drop("__pairs", "__filled")
