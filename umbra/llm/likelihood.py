@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ from .quality import line_hashes, mix, words_of
 
 CLASSES, PER_CLASS, BUCKETS = 64, 64, 256
 WIDTH, WINDOW = 16, 3
-MASKED, BATCH, RATE = 0.125, 8192, 0.1
+MASKED, BATCH, RATE = 0.125, 4096, 0.1
 SUB_BATCH, CHUNK = 3_000_000, 65_536
 SEED = 5
 
@@ -149,7 +149,10 @@ def frequent_words(texts: DataFrame, most: int = CLASSES * PER_CLASS - BUCKETS)
                 yield pa.RecordBatch.from_arrays([known.cast(pa.string()), pa.array(np.bincount(numbers, minlength=len(known)))], ["word", "n"])
 
     counts = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    # a plain limit would send every partition's candidates to the driver; ranks within parts leave a fixed number
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "word"))
+    ranked = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(16))).withColumn("rank", rank).filter(F.col("rank") <= most)
+    return [r["word"] for r in ranked.select("word", "n").orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def fit(texts: DataFrame, words: list[str]) -> np.ndarray:
@@ -175,7 +178,7 @@ def fit(texts: DataFrame, words: list[str]) -> np.ndarray:
             places += len(held[0][1])
         if places:
             parts = np.array_split(net.weights, blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks)), pa.array([places] * blocks), pa.array([p * np.float32(1) for p in parts], pa.list_(pa.float32())), pa.array([int(net.weights.view(np.uint32).sum() % 16)] * blocks)], ["block", "places", "weights", "salt"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks)), pa.array([places] * blocks), pa.array([p * np.float32(1) for p in parts], pa.list_(pa.float32())), pa.array([int(net.weights.view(np.uint32).sum() % 256)] * blocks)], ["block", "places", "weights", "salt"])
 
     schema = "block long, places long, weights array<float>, salt long"
 
