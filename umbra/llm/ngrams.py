@@ -14,11 +14,12 @@ lower bound of the symmetric difference.
 * Bits: each shingle flips one bit; pairs whose bit sketches differ in more than D bits need
   no verification.
 
-Equal sets are one node. In a group of nodes with an equal word only the pairs with its least
-node are candidates at first; after their verification, groups that still hold several
-components have the pairs across components compared by their bit sketches, in blocks, and
-what passes is verified as well. So groups of copies cost as many pairs as they have members,
-and no link is lost. Nothing is collected to the driver.
+Equal sets are one node. In a group of nodes with an equal word only the pairs with its hub,
+the node that shares words with the most others, are candidates at first. In groups that then
+still hold several components, the bit sketches of different components are compared in
+blocks: each node is verified against the nearest, and in a last round every pair is that
+may link and still lies in different components. So groups of copies cost about as many pairs
+as they have members, and no link is lost. Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -34,13 +35,14 @@ from pyspark.sql import functions as F
 from .chunks import sub_batches
 from .components import components
 from .quality import line_hashes, mix, words_of
-from .shared import cut, join_small
+from .shared import cut, join_small, release
 
 WORDS, PERCENT = 5, 80
 BAND = 1.5
 #: Members of a block in which sketches are compared, and pairs that one task verifies against a document.
 BLOCK, SALT = 512, 500
 SUB_BATCH = 4_000_000
+#: Names of sets that a task remembers, so as not to emit copies' words again.
 _SEEN = 200_000
 
 
@@ -164,49 +166,49 @@ def may_link(a: int, b: int, one: bytes, other: bytes, percent: int = PERCENT) -
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node) sorted by both: (key, star, node) of the keys that several nodes have, the star (the least node) among the nodes."""
-    key, star, last, told = None, None, None, False
+    """Of rows (key, node) sorted by both: the different rows of the keys that several nodes have."""
+    key, first, last, told = None, None, None, False
     for batch in batches:
         keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(keys):
             continue
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-        goes_on = key is not None and keys[0] == key
-        if goes_on and nodes[0] == last:
-            fresh[0] = False
+        fresh[0] = key is None or keys[0] != key or nodes[0] != last
         last = nodes[-1]
         keys, nodes = keys[fresh], nodes[fresh]
         if not len(keys):
             continue
+        goes_on = key is not None and keys[0] == key
         heads = np.append(True, keys[1:] != keys[:-1])
         run = np.cumsum(heads) - 1
-        stars = nodes[heads]
-        if goes_on and keys[0] == key:
-            stars[0] = star
-        other = nodes != stars[run]
-        several = np.bincount(run[other], minlength=len(stars)) > 0
+        firsts = nodes[heads]
+        if goes_on:
+            firsts[0] = first
+        other = nodes != firsts[run]
+        several = np.bincount(run[other], minlength=len(firsts)) > 0
         own = several.copy()
-        if goes_on and keys[0] == key and told:
+        if goes_on and told:
             own[0] = False
-        ks = keys[heads]
-        out = [np.concatenate([keys[other], ks[own]]), np.concatenate([stars[run][other], stars[own]]), np.concatenate([nodes[other], stars[own]])]
-        told = bool(several[-1]) or (told and len(stars) == 1 and goes_on and keys[0] == key)
-        key, star = keys[-1], stars[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "star", "node"])
+        told = bool(several[-1]) or (told and goes_on and len(firsts) == 1)
+        key, first = keys[-1], firsts[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[other], keys[heads][own]])), pa.array(np.concatenate([nodes[other], firsts[own]]))], ["key", "node"])
 
 
-def _across(percent: int):
-    """Of rows (key, lo, hi, block, node, component, size, sketch) sorted by the first three: pairs of different components that may link."""
+def _across(percent: int, nearest: bool):
+    """Of rows (key, lo, hi, block, node, component, size, sketch) sorted by the first three: pairs of different components that may link.
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        lo, hi = rows[0][1], rows[0][2]
+    Rows (key, node, star, gap); with ``nearest``, for each node only the star whose sketch is nearest for its size.
+    """
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int, int, float]]:
+        key, lo, hi = rows[0][:3]
         rows = sorted({r[3:] for r in rows}, key=lambda r: (r[3], r[1]))
         found = []
         size = np.array([r[3] for r in rows])
         for width in sorted({len(r[4]) for r in rows}):
             near = [i for i, r in enumerate(rows) if width <= len(r[4]) <= 2 * width]
-            bits = np.stack([fold(np.frombuffer(rows[i][4], np.uint8), width) for i in near])
+            bits = np.stack([fold(np.frombuffer(rows[i][4], np.uint8), width) for i in near]).view(np.uint64)
             which, part = np.array(near), np.array([rows[i][2] for i in near])
             blocks, exact = np.array([rows[i][0] for i in near]), np.array([len(rows[i][4]) == width for i in near])
             for k, i in enumerate(near):
@@ -217,15 +219,22 @@ def _across(percent: int):
                     ok &= blocks != blocks[k]
                 c = np.flatnonzero(ok)
                 if len(c):
-                    gap = np.bitwise_count(bits[c] ^ bits[k]).sum(1)
-                    for j in which[c[gap <= most_different(size[which[c]], size[i], percent)]]:
-                        a, b = rows[i][1], rows[j][1]
-                        found.append((min(a, b), max(a, b)))
+                    gap = np.bitwise_count(bits[c] ^ bits[k]).sum(1, dtype=np.int64)
+                    for j, g in zip(which[c].tolist(), gap.tolist(), strict=True):
+                        if g <= most_different(size[j], size[i], percent):
+                            a, b = rows[i][1], rows[j][1]
+                            found.append((key, min(a, b), max(a, b), g / (size[i] + size[j])))
+        if nearest:
+            best: dict[int, tuple] = {}
+            for pair in found:
+                for end in pair[1:3]:
+                    if end not in best or (pair[3], pair) < (best[end][3], best[end]):
+                        best[end] = pair
+            found = list(dict.fromkeys(best.values()))
         return found
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -233,16 +242,19 @@ def _across(percent: int):
                     out += compare(held)
                     held = []
                 held.append(row)
-            out = [p for p in dict.fromkeys(out) if p not in seen]
-            if len(seen) < _SEEN:
-                seen.update(out)
-            yield _pairs(out)
+            yield _told(out)
         if held:
-            yield _pairs(compare(held))
+            yield _told(compare(held))
 
     return run
 
 
+def _told(found: list[tuple[int, int, int, float]]) -> pa.RecordBatch:
+    columns = zip(*found, strict=True) if found else ((), (), (), ())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "node", "star", "gap"])
+
+
 def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*pairs, strict=True) if pairs else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "star"])
@@ -320,11 +332,17 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     known = cut(docs.mapInArrow(measure, "id long, n long, node long, sketch binary"))
     nodes = cut(known.filter("n > 0").groupBy("node").agg(F.min("id").alias("root"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     signed = docs.select("__text").mapInArrow(sign, "key long, node long")
-    groups = cut(signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_groups, "key long, star long, node long"))
-
-    often = groups.filter("node <> star").groupBy("node", "star").agg(F.count("*").alias("hits"))
-    best = often.groupBy("node").agg(F.max_by("star", F.struct("hits", -F.col("star"))).alias("star"))
+    groups = cut(signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_groups, "key long, node long"))
+    del signed
+    release(df)
     sized = nodes.select("node", "n", "sketch")
+
+    # what others were copied from shares words with the most others: it is the hub of its groups
+    weights = groups.join(groups.groupBy("key").agg(F.count("*").alias("m")), "key").groupBy("node").agg(F.sum("m").alias("w"))
+    weighed = cut(groups.join(weights, "node"))
+    hubs = weighed.groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("star"))
+    often = weighed.join(hubs, "key").filter("node <> star").groupBy("node", "star").agg(F.count("*").alias("hits"))
+    best = often.groupBy("node").agg(F.max_by("star", F.struct("hits", "star")).alias("star"))
     both = best.join(sized, "node").join(sized.select(F.col("node").alias("star"), F.col("n").alias("m"), F.col("sketch").alias("other")), "star")
 
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,20 +350,32 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             columns = [c.to_pylist() for c in batch.columns]
             yield _pairs([(a, b) for a, b, n, m, x, y in zip(*columns, strict=True) if may_link(n, m, x, y, percent)])
 
-    pairs = cut(both.select("node", "star", "n", "m", "sketch", "other").mapInArrow(sift, "node long, star long"))
-    edges = cut(verify(pairs, nodes, docs, words, percent))
+    first = both.select("node", "star", "n", "m", "sketch", "other").mapInArrow(sift, "node long, star long")
+    tested = cut(first.select(F.least("node", "star").alias("node"), F.greatest("node", "star").alias("star")).distinct())
+    edges = cut(verify(tested, nodes, docs, words, percent))
     parts = components(edges)
 
-    placed = groups.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = cut(placed)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("c <> d").select("key", "blocks")
-    spread = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.join(sized, "node").select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "component", "n", "sketch")
-    across = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_across(percent), "node long, star long")
-    more = cut(across.distinct().join(pairs, ["node", "star"], "left_anti"))
-    if not more.isEmpty():
-        edges = edges.union(cut(verify(more, nodes, docs, words, percent)))
+    def across(keys: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of different components in the groups ``keys``."""
+        placed = cut(keys.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("c <> d").select("key", "blocks")
+        spread = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        spread = spread.join(sized, "node").select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "component", "n", "sketch")
+        return cut(spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_across(percent, nearest), "key long, node long, star long, gap double").distinct())
+
+    found = across(groups, True)
+    if not found.isEmpty():
+        ends = found.select("node", "star", "gap").union(found.select(F.col("star"), F.col("node"), "gap")).toDF("node", "star", "gap")
+        near = ends.groupBy("node").agg(F.min_by("star", F.struct("gap", "star")).alias("star"))
+        near = near.select(F.least("node", "star").alias("node"), F.greatest("node", "star").alias("star")).distinct()
+        near = cut(near.join(tested, ["node", "star"], "left_anti"))
+        edges, tested = cut(edges.union(verify(near, nodes, docs, words, percent))), tested.union(near)
         parts = components(edges)
+        rest = across(groups.join(found.select("key").distinct(), "key", "left_semi"), False)
+        rest = cut(rest.select("node", "star").distinct().join(tested, ["node", "star"], "left_anti"))
+        if not rest.isEmpty():
+            edges = edges.union(cut(verify(rest, nodes, docs, words, percent)))
+            parts = components(edges)
 
     named = parts.join(nodes.select("node", "root"), "node").groupBy("component").agg(F.min("root").alias("least"))
     linked = parts.join(named, "component").select("node", "least")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,12 @@ def join_small(large: DataFrame, small: DataFrame, on: list[str], how: str, most
     return large.join(F.broadcast(small) if few else small.hint("shuffle_hash") if how == "inner" else small, on, how)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of finished queries now, rather than whenever the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one, that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
