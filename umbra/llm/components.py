@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, release
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     now, before = cut(edges.select("a", "b").filter("a <> b")), None
     while True:
         now = cut(_small(_large(now)))
+        release(now)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -41,7 +41,7 @@ WORDS, PERCENT = 5, 80
 BAND = 1.5
 #: Members of a block in which sketches are compared, and pairs that one task verifies against a document.
 BLOCK, SALT = 512, 500
-SUB_BATCH = 4_000_000
+SUB_BATCH = 1_500_000
 #: Names of sets that a task remembers, so as not to emit copies' words again.
 _SEEN = 200_000
 
@@ -337,6 +337,12 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     release(df)
     sized = nodes.select("node", "n", "sketch")
 
+    def linked(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Components of ``edges`` and of the components known before, which are stars already."""
+        out = cut(components(edges if known is None else edges.union(known.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        release(df)
+        return out
+
     # what others were copied from shares words with the most others: it is the hub of its groups
     weights = groups.join(groups.groupBy("key").agg(F.count("*").alias("m")), "key").groupBy("node").agg(F.sum("m").alias("w"))
     weighed = cut(groups.join(weights, "node"))
@@ -352,8 +358,7 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
     first = both.select("node", "star", "n", "m", "sketch", "other").mapInArrow(sift, "node long, star long")
     tested = cut(first.select(F.least("node", "star").alias("node"), F.greatest("node", "star").alias("star")).distinct())
-    edges = cut(verify(tested, nodes, docs, words, percent))
-    parts = components(edges)
+    parts = linked(cut(verify(tested, nodes, docs, words, percent)))
 
     def across(keys: DataFrame, nearest: bool) -> DataFrame:
         """Pairs of different components in the groups ``keys``."""
@@ -369,16 +374,14 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         near = ends.groupBy("node").agg(F.min_by("star", F.struct("gap", "star")).alias("star"))
         near = near.select(F.least("node", "star").alias("node"), F.greatest("node", "star").alias("star")).distinct()
         near = cut(near.join(tested, ["node", "star"], "left_anti"))
-        edges, tested = cut(edges.union(verify(near, nodes, docs, words, percent))), tested.union(near)
-        parts = components(edges)
+        parts, tested = linked(cut(verify(near, nodes, docs, words, percent)), parts), tested.union(near)
         rest = across(groups.join(found.select("key").distinct(), "key", "left_semi"), False)
         rest = cut(rest.select("node", "star").distinct().join(tested, ["node", "star"], "left_anti"))
         if not rest.isEmpty():
-            edges = edges.union(cut(verify(rest, nodes, docs, words, percent)))
-            parts = components(edges)
+            parts = linked(cut(verify(rest, nodes, docs, words, percent)), parts)
 
     named = parts.join(nodes.select("node", "root"), "node").groupBy("component").agg(F.min("root").alias("least"))
-    linked = parts.join(named, "component").select("node", "least")
-    names = nodes.select("node", "root").join(linked, "node", "left").select("node", F.coalesce("least", "root").alias("least"))
+    least = parts.join(named, "component").select("node", "least")
+    names = nodes.select("node", "root").join(least, "node", "left").select("node", F.coalesce("least", "root").alias("least"))
     answer = known.select("id", "n", "node").join(names, "node", "left")
     return answer.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
