@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time within an Arrow batch, and entries a cache may hold.
-SUB_BATCH_BYTES = 6_000_000
+SUB_BATCH_BYTES = 3_000_000
 CACHE_ENTRIES = 500_000
 #: Longer chunks are tokenised each time and never cached.
 CACHED_CHARS = 120

@@ -26,7 +26,7 @@ from .quality import line_hashes, mix, words_of
 CLASSES, PER_CLASS, BUCKETS = 64, 64, 256
 WIDTH, WINDOW = 16, 3
 MASKED, BATCH, RATE = 0.125, 4096, 0.1
-SUB_BATCH, CHUNK = 3_000_000, 65_536
+SUB_BATCH, CHUNK = 2_000_000, 65_536
 SEED = 5
 
 
