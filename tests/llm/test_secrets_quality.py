@@ -126,6 +126,16 @@ def test_line_frequencies(spark):
     assert clean[0] == f"{own(0)}\n{line}" and clean[1] == own(1) and 100 not in clean and len(clean) == 30 + 5 + 60
 
 
+def test_lines_of_a_tenth_of_a_large_host(spark):
+    line = "a line that stands on every tenth page of a large host"
+    rows = [(i, " ".join(f"own{i}x{k}" for k in range(30)) + f"\n{line}" * (i % 10 == 0), "h") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lost = {r.doc_id: r.n_lost_words for r in quality.judge(df).collect()}
+    assert {i for i, n in lost.items() if n} == set(range(10, 400, 10)) and lost[10] == len(line.split())
+    clean = {r.doc_id: r.text for r in quality.clean(df).collect()}
+    assert len(clean) == 400 and [i for i, t in clean.items() if line in t] == [0]
+
+
 def test_pipeline(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     before = {r.doc_id for r in spark.read.parquet(f"{small}/documents.parquet").collect()}

@@ -24,8 +24,8 @@ from .shared import BROADCAST_ROWS, cut, fresh, join_small
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: A line is boilerplate where more than this many, and this share, of a host's documents hold it.
-MIN_DOCUMENTS, MAX_SHARE = 20, 0.2
+#: A line is boilerplate where more than this many of a host's documents hold it, however many the host has.
+MIN_DOCUMENTS = 20
 MAX_LOST = 0.5
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +125,7 @@ def measure(texts: pa.Array) -> dict[str, pa.Array]:
     return out | {"__print": pa.array(prints)}
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_lost: float = MAX_LOST) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_documents: int = MIN_DOCUMENTS, max_lost: float = MAX_LOST) -> DataFrame:
     """``id_col``, the five statistics, ``base_failed``, ``n_lost_words``, ``lost_lines`` array<long> and ``kept``.
 
     A null text has no words and fails. Null hosts are one host. Repeated rows count once in
@@ -143,10 +143,9 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
 
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     measured = cut(df.select(F.col(id_col).alias("__id"), host.alias("__host"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema))
-    hosts = measured.groupBy("__host").agg(F.count_distinct("__print").alias("__documents"))
     lines = measured.select("__host", "__id", "__print", F.explode("__lines").alias("__line"))
     counted = lines.groupBy("__host", "__line", "__print").agg(F.min("__id").alias("__first")).groupBy("__host", "__line").agg(F.count("*").alias("__n"), F.min("__first").alias("__first"))
-    common = cut(counted.filter(F.col("__n") > min_documents).join(hosts, "__host").filter(F.col("__n") > max_share * F.col("__documents")).select("__host", "__line", "__first"))
+    common = cut(counted.filter(F.col("__n") > min_documents).select("__host", "__line", "__first"))
     row = measured.withColumn("__row", F.monotonically_increasing_id())
     pairs = row.select("__row", "__host", "__id", F.explode(F.arrays_zip("__lines", "__line_words")).alias("x")).select("__row", "__host", "__id", F.col("x.__lines").alias("__line"), F.col("x.__line_words").alias("__w"))
     lost = join_small(pairs, common, ["__host", "__line"], "inner").filter(~F.col("__id").eqNullSafe(F.col("__first"))).groupBy("__row").agg(F.sum("__w").alias("n_lost_words"), F.collect_list("__line").alias("lost_lines"))
