@@ -101,6 +101,28 @@ def test_gradient():
         assert abs(abs(numeric) - slope[i]) < 1e-3 * slope[i] + 1e-7 and np.sign(weights[i] - wide.weights[i]) == np.sign(numeric)
 
 
+def test_runs_train_like_windows():
+    rng = np.random.default_rng(4)
+    ids, sizes = rng.integers(0, 4096, 300), np.array([0, 120, 1, 0, 2, 177])
+    one, other = likelihood.Network.start(), likelihood.Network.start()
+    seen, also = np.zeros_like(one.weights), np.zeros_like(one.weights)
+    one.train(likelihood.windows(ids, sizes, np.arange(300)), ids, seen)
+    run, at = likelihood.spaced(ids, sizes)
+    other.train_run(np.concatenate([np.full(likelihood.WINDOW, one.size), run]), at + likelihood.WINDOW, also)
+    assert np.allclose(seen, also, rtol=1e-3, atol=1e-12) and seen.any()
+
+
+def test_every_place_is_trained(spark):
+    """The class biases' step of the only batch is that of all places."""
+    texts = ["a b c d e f g h"] * 5 + ["", None, "i"] + ["z y x"] * 7
+    docs = spark.createDataFrame([(t,) for t in texts], "__text string").coalesce(1)
+    words = likelihood.frequent_words(docs)
+    ids, sizes = likelihood.Vocabulary(words).number(pa.array([t or "" for t in texts], pa.large_string()))
+    net = likelihood.Network.start()
+    net.train(likelihood.windows(ids, sizes, np.arange(len(ids))), ids, np.zeros_like(net.weights))
+    assert len(ids) == 62 and np.allclose(likelihood.fit(docs, words), net.weights, atol=1e-3)
+
+
 def test_log_probs_sum_to_one():
     net = likelihood.Network.start()
     around = np.zeros((net.size, 2 * likelihood.WINDOW), np.int64)

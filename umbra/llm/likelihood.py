@@ -3,8 +3,8 @@
 The vocabulary are the most frequent words of the whole corpus; other words share buckets by
 their ending and length. Every word is predicted from ``WINDOW`` words on both sides: their
 embeddings, scaled by place, add up to a hidden layer, and a softmax over classes and one
-within the class give its probability. Training masks a share of the places of every
-document: each partition runs Adagrad from the same start, and the partitions' weights are
+within the class give its probability. Training predicts every place of every
+document in turn: each partition runs Adagrad from the same start, and the partitions' weights are
 averaged by the places that they saw, class by class in two levels. A text's score is the
 sum of the conditional log-probabilities of its words.
 """
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import sub_batches
-from .quality import line_hashes, mix, words_of
+from .quality import line_hashes, words_of
 
 CLASSES, PER_CLASS, BUCKETS = 64, 64, 256
 WIDTH, WINDOW = 16, 3
-MASKED, BATCH, RATE = 0.125, 4096, 0.1
+BATCH, RATE = 4096, 0.1
 SUB_BATCH, CHUNK = 2_000_000, 65_536
 SEED = 5
 
@@ -72,25 +72,49 @@ class Network:
 
     def train(self, around: np.ndarray, words: np.ndarray, seen: np.ndarray) -> None:
         """One Adagrad step; ``seen`` are the sums of squares so far, like the weights."""
-        n, grad = len(words), Network(np.zeros_like(self.weights))
-        h = self.hidden(around)
-        class_, inner = words // PER_CLASS, words % PER_CLASS
+        grad = Network(np.zeros_like(self.weights))
+        back = self._errors(self.hidden(around), words, grad)
+        for k in range(2 * WINDOW):
+            grad.place[k] = (back * self.embed[around[:, k]]).sum(0)
+        self._descend(grad, around.ravel(), (back[:, None, :] * self.place).reshape(-1, WIDTH), len(words), seen)
+
+    def train_run(self, run: np.ndarray, at: np.ndarray, seen: np.ndarray) -> None:
+        """The same step for the places ``at`` of a run of ids, which has ``WINDOW`` ids before the first and after the last of them; looks up each id once."""
+        grad, n, last = Network(np.zeros_like(self.weights)), len(at), len(run) - 2 * WINDOW
+        embedded, steps = self.embed[run], [k + (k >= WINDOW) for k in range(2 * WINDOW)]
+        total = np.broadcast_to(self.bias, (last, WIDTH)).copy()
+        for k, a in enumerate(steps):
+            total += embedded[a : a + last] * self.place[k]
+        back = np.zeros_like(total)
+        back[at - WINDOW] = self._errors(np.tanh(total[at - WINDOW]), run[at], grad)
+        spread = np.zeros_like(embedded)
+        for k, a in enumerate(steps):
+            grad.place[k] = (back * embedded[a : a + last]).sum(0)
+            spread[a : a + last] += back * self.place[k]
+        self._descend(grad, run, spread, n, seen)
+
+    def _errors(self, h: np.ndarray, words: np.ndarray, grad: Network) -> np.ndarray:
+        """What the hidden layers' sums get back; ``grad`` gets all but the places' and the embeddings' share."""
+        n, (class_, inner) = len(words), np.divmod(words, PER_CLASS)
         wrong = _softmax(h @ self.to_class + self.class_bias)
         wrong[np.arange(n), class_] -= 1
         grad.to_class[:], grad.class_bias[:] = h.T @ wrong, wrong.sum(0)
         back = wrong @ self.to_class.T
-        for c in np.unique(class_):
-            rows = np.flatnonzero(class_ == c)
-            wrong = _softmax(h[rows] @ self.to_word[c] + self.word_bias[c])
-            wrong[np.arange(len(rows)), inner[rows]] -= 1
-            grad.to_word[c], grad.word_bias[c] = h[rows].T @ wrong, wrong.sum(0)
-            back[rows] += wrong @ self.to_word[c].T
+        order = np.argsort(class_, kind="stable")
+        cuts = np.searchsorted(class_[order], np.arange(CLASSES + 1)).tolist()
+        sorted_, inner, extra = h[order], inner[order], np.empty_like(back)
+        for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if a < b:
+                wrong = _softmax(sorted_[a:b] @ self.to_word[c] + self.word_bias[c])
+                wrong[np.arange(b - a), inner[a:b]] -= 1
+                grad.to_word[c], grad.word_bias[c] = sorted_[a:b].T @ wrong, wrong.sum(0)
+                extra[a:b] = wrong @ self.to_word[c].T
+        back[order] += extra
         back *= 1 - h * h
         grad.bias[:] = back.sum(0)
-        for k in range(2 * WINDOW):
-            grad.place[k] = (back * self.embed[around[:, k]]).sum(0)
-        ids = around.ravel()
-        spread = (back[:, None, :] * self.place).reshape(-1, WIDTH)
+        return back
+
+    def _descend(self, grad: Network, ids: np.ndarray, spread: np.ndarray, n: int, seen: np.ndarray) -> None:
         for d in range(WIDTH):
             grad.embed[:, d] = np.bincount(ids, spread[:, d], self.size + 1)
         grad.embed[-1] = 0
@@ -139,6 +163,15 @@ def windows(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def spaced(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with ``WINDOW`` ids of a text's end after each text that has words, and where in that the words are."""
+    sizes = sizes[sizes > 0]
+    at = np.arange(len(ids)) + WINDOW * np.repeat(np.arange(len(sizes)), sizes)
+    out = np.full(len(ids) + WINDOW * len(sizes), CLASSES * PER_CLASS, np.int64)
+    out[at] = ids
+    return out, at
+
+
 def frequent_words(texts: DataFrame, most: int = CLASSES * PER_CLASS - BUCKETS) -> list[str]:
     """The ``most`` most frequent words of all texts (``__text``), in lower case; the count covers every word."""
 
@@ -161,21 +194,23 @@ def fit(texts: DataFrame, words: list[str]) -> np.ndarray:
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, vocabulary = Network.start(), Vocabulary(words)
-        seen, places, held = np.zeros_like(net.weights), 0, []
+        seen, places, end = np.zeros_like(net.weights), 0, np.full(WINDOW, net.size)
+        run, at = end, np.zeros(0, np.int64)
         for batch in batches:
             for _, part in sub_batches(batch, 0, SUB_BATCH):
                 ids, sizes = vocabulary.number(part)
-                masked = np.flatnonzero(mix(np.arange(len(ids)) + ids * 7919) < np.uint64(int(MASKED * 2**64)))
-                held.append((windows(ids, sizes, masked), ids[masked]))
-                around, targets = (np.concatenate(x) for x in zip(*held, strict=True))
-                whole = len(targets) // BATCH * BATCH
+                more, there = spaced(ids, sizes)
+                run, at = np.concatenate([run, more]), np.concatenate([at, there + len(run)])
+                whole = len(at) // BATCH * BATCH
                 for a in range(0, whole, BATCH):
-                    net.train(around[a : a + BATCH], targets[a : a + BATCH], seen)
-                held = [(around[whole:], targets[whole:])]
+                    here = at[a : a + BATCH]
+                    net.train_run(run[here[0] - WINDOW : here[-1] + WINDOW + 1], here - here[0] + WINDOW, seen)
+                begin = (at[whole] if whole < len(at) else len(run)) - WINDOW
+                run, at = run[begin:], at[whole:] - begin
                 places += whole
-        if held and len(held[0][1]):
-            net.train(*held[0], seen)
-            places += len(held[0][1])
+        if len(at):
+            net.train_run(run[at[0] - WINDOW : at[-1] + WINDOW + 1], at - at[0] + WINDOW, seen)
+            places += len(at)
         if places:
             parts = np.array_split(net.weights, blocks)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks)), pa.array([places] * blocks), pa.array([p * np.float32(1) for p in parts], pa.list_(pa.float32())), pa.array([int(net.weights.view(np.uint32).sum() % 256)] * blocks)], ["block", "places", "weights", "salt"])
