@@ -163,6 +163,23 @@ def test_sums_against_brute_force(spark):
     assert got[3].log_likelihood == 0 and got[3].per_word is None
 
 
+def test_rare_words_share_their_bucket(spark):
+    """Words beyond the network's have the bucket's probability by their own counts; one that the corpus lacks has one count more."""
+    common = [f"c{i:04d}" for i in range(likelihood.CLASSES * likelihood.PER_CLASS - likelihood.BUCKETS)]
+    rare = {"xqing": 4, "yqing": 2, "zqing": 1}
+    corpus = " ".join(w for w in common for _ in range(5)) + " " + " ".join(w for w, n in rare.items() for _ in range(n))
+    train = spark.createDataFrame([(0, corpus)], "doc_id long, text string").coalesce(1)
+    held = spark.createDataFrame(list(enumerate([*rare, "wqing"] * 2)), "doc_id long, text string")
+    got = {r.doc_id: r.log_likelihood for r in likelihood.score(held, trained_on=train).collect()}
+    texts = train.select(F.col("text").alias("__text"))
+    words = likelihood.frequent_words(texts)
+    assert words == common
+    net, ends = likelihood.Network(likelihood.fit(texts, words)), np.full((1, 2 * likelihood.WINDOW), 4096)
+    bucket = float(net.log_probs(ends, likelihood.bucket_ids(["xqing"]))[0])
+    assert len(got) == 8 and all(abs(got[i] - got[i + 4]) < 1e-9 for i in range(4))
+    assert np.allclose([got[i] for i in range(4)], bucket + np.log(np.array([4, 2, 1, 1]) / 8), atol=1e-3)
+
+
 def test_odd_scores(odd, odd_rows, empty):
     got = likelihood.score(odd).collect()
     assert len(got) == len(odd_rows) and all(np.isfinite(r.log_likelihood) for r in got)

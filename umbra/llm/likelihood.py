@@ -1,9 +1,11 @@
 """Masked pseudo-likelihood: how probable a bidirectional window network finds each word of a text.
 
-The vocabulary are the most frequent words of the whole corpus; other words share buckets by
-their ending and length. Every word is predicted from ``WINDOW`` words on both sides: their
+The network's vocabulary are the most frequent words of the whole corpus; other words share
+buckets by their ending and length. Counts of all words, a distributed table that grows with
+the corpus, say how probable a word is within its bucket: its count over the bucket's and
+one, which is left for words that the corpus lacks. Every word is predicted from ``WINDOW`` words on both sides: their
 embeddings, scaled by place, add up to a hidden layer, and a softmax over classes and one
-within the class give its probability. Training predicts every place of every
+within the class give the probability of its word or bucket. Training predicts every place of every
 document in turn: each partition runs Adagrad from the same start, and the partitions' weights are
 averaged by the places that they saw, class by class in two levels. A text's score is the
 sum of the conditional log-probabilities of its words.
@@ -22,6 +24,7 @@ from pyspark.sql import types as T
 
 from .chunks import sub_batches
 from .quality import line_hashes, words_of
+from .shared import cut
 
 CLASSES, PER_CLASS, BUCKETS = 64, 64, 256
 WIDTH, WINDOW = 16, 3
@@ -141,14 +144,29 @@ class Vocabulary:
 
     def number(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words end to end, and the number of words of each text."""
+        return self.look_up(texts, False)[:2]
+
+    def look_up(self, texts: pa.Array, hashes: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
+        """As :meth:`number`, and for each text the hashes of its words that are in buckets."""
         numbers, known, sizes = words_of(pc.ascii_lower(texts))
         words = known.to_pylist()
         ids = np.array([self.ids.get(w, -1) for w in words], np.int64)
-        odd = np.flatnonzero(ids < 0)
+        is_odd = ids < 0
+        odd, lists = np.flatnonzero(is_odd), None
         if len(odd):
-            endings = line_hashes(pa.array([f"{min(len(words[i]), 12)}{words[i][-2:]}" for i in odd], pa.large_string()))
-            ids[odd] = CLASSES * PER_CLASS - 1 - (endings % np.uint64(BUCKETS)).astype(np.int64)
-        return ids[numbers] if len(ids) else numbers, sizes
+            ids[odd] = bucket_ids([words[i] for i in odd])
+        if hashes:
+            codes = np.zeros(len(words), np.int64)
+            codes[odd] = line_hashes(known.filter(pa.array(is_odd))).view(np.int64)
+            inside = is_odd[numbers]
+            ends = np.concatenate([[0], np.cumsum(inside)])[np.concatenate([[0], np.cumsum(sizes)])]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(codes[numbers[inside]]))
+        return ids[numbers], sizes, lists
+
+
+def bucket_ids(words: list[str]) -> np.ndarray:
+    endings = line_hashes(pa.array([f"{min(len(w), 12)}{w[-2:]}" for w in words], pa.large_string()))
+    return CLASSES * PER_CLASS - 1 - (endings % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def windows(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -172,8 +190,8 @@ def spaced(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def frequent_words(texts: DataFrame, most: int = CLASSES * PER_CLASS - BUCKETS) -> list[str]:
-    """The ``most`` most frequent words of all texts (``__text``), in lower case; the count covers every word."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word``, in lower case, and ``n`` of every word of all texts (``__text``)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,13 +199,41 @@ def frequent_words(texts: DataFrame, most: int = CLASSES * PER_CLASS - BUCKETS)
                 numbers, known, _ = words_of(pc.ascii_lower(part))
                 yield pa.RecordBatch.from_arrays([known.cast(pa.string()), pa.array(np.bincount(numbers, minlength=len(known)))], ["word", "n"])
 
-    counts = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(texts: DataFrame, most: int = CLASSES * PER_CLASS - BUCKETS, counts: DataFrame | None = None) -> list[str]:
+    """The ``most`` most frequent words of all texts (``__text``), in lower case; the count covers every word."""
+    counts = word_counts(texts) if counts is None else counts
     # a plain limit would send every partition's candidates to the driver; ranks within parts leave a fixed number
     rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "word"))
     ranked = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(16))).withColumn("rank", rank).filter(F.col("rank") <= most)
     return [r["word"] for r in ranked.select("word", "n").orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
+def bucket_counts(counts: DataFrame, words: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """``__word`` (hash) and ``n`` of the words beside ``words`` that occur twice or more, and the sum of all words' counts in each bucket."""
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = set(words), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            odd = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known]
+            if odd:
+                np.add.at(total, CLASSES * PER_CLASS - 1 - bucket_ids([w for w, _ in odd]), [n for _, n in odd])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total)], ["bucket", "n"])
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(words)
+        for batch in batches:
+            odd = batch.filter(pa.array([w not in known for w in batch.column(0).to_pylist()], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(line_hashes(odd.column(0)).view(np.int64)), odd.column(1)], ["__word", "n"])
+
+    total = np.zeros(BUCKETS, np.int64)
+    for r in counts.mapInArrow(sums, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # as many as there are buckets
+        total[r["bucket"]] = r["n"]
+    return counts.filter("n > 1").mapInArrow(hashed, "__word long, n long"), total
+
+
 def fit(texts: DataFrame, words: list[str]) -> np.ndarray:
     """Weights averaged over the partitions of ``texts`` (``__text``)."""
     blocks = 64
@@ -237,19 +283,26 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trained
     other columns are left out; an empty table gives an empty table.
     """
     corpus = (df if trained_on is None else trained_on).select(F.col(text_col).cast("string").alias("__text"))
-    words = frequent_words(corpus)
+    counts = cut(word_counts(corpus))
+    words = frequent_words(corpus, counts=counts)
+    shares, in_buckets = bucket_counts(counts, words)
     weights = df.sparkSession.sparkContext.broadcast(fit(corpus, words))
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_likelihood", T.DoubleType())])
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("__words", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, vocabulary = Network(weights.value.copy()), Vocabulary(words)
+        within = np.zeros(net.size)
+        within[net.size - BUCKETS :] = -np.log(in_buckets + 1.0)[::-1]
         for batch in batches:
             for rows, texts in sub_batches(batch, 1, SUB_BATCH):
-                ids, sizes = vocabulary.number(texts)
+                ids, sizes, rare = vocabulary.look_up(texts)
                 logs = [net.log_probs(windows(ids, sizes, at), ids[at]) for at in np.array_split(np.arange(len(ids)), max(1, len(ids) // CHUNK))]
-                total = np.concatenate([[0.0], np.cumsum(np.concatenate(logs).astype(np.float64))])
+                total = np.concatenate([[0.0], np.cumsum(np.concatenate(logs).astype(np.float64) + within[ids])])
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), pa.array(total[ends] - total[ends - sizes])], schema.names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), pa.array(total[ends] - total[ends - sizes]), rare], schema.names)
 
-    scored = df.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
-    return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+    scored = cut(df.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)).withColumn("__row", F.monotonically_increasing_id())
+    # a word that occurs once adds log 1, as one that the corpus lacks
+    seen = scored.select("__row", F.explode("__words").alias("__word")).join(shares, "__word").groupBy("__row").agg(F.sum(F.log("n")).alias("__seen"))
+    whole = scored.drop("__words").join(seen, "__row", "left").select(id_col, "n_words", (F.col("log_likelihood") + F.coalesce("__seen", F.lit(0.0))).alias("log_likelihood"))
+    return whole.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
