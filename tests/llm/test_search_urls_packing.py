@@ -116,6 +116,40 @@ def test_mined_rules_against_counting(spark):
         assert rule <= tokens[r.page_id] and len(right) >= urls.MIN_CONFIDENCE * len(hit) and len(right) >= urls.MIN_SUPPORT * len(labelled)
 
 
+def test_every_part_of_a_url_is_a_token(spark):
+    df = spark.createDataFrame([(1, "http://m.casino-win.Example.com/a/b/c-d/4033.html?q=1&page=2#x?z=1")], "page_id long, url string")
+    found = df.select(urls.tokens(*urls.parts(df.url), df.url).alias("t")).first().t
+    assert {"label:casino-win", "label:m", "word:casino", "word:win", "segment:c-d", "word:d", "segment:<number>", "extension:html", "name:q", "name:page"} <= set(found)
+    assert len(found) == len(set(found)) and "name:z" not in found
+
+
+def test_rules_carry_over_to_other_domains(spark):
+    """A middle label, a third segment and a query name that are told on labelled hosts."""
+    kinds = ("www.casino-win.{}/p/q/r/{}", "www.x{}/p/q/spam/{}", "www.x{}/p/q/r/{}?track=1", "www.x{}/p/q/r/{}")
+    pages = [(i, "http://" + kinds[i % 4].format(("good.net", "other.org")[i % 8 // 4], f"v{i}") ) for i in range(400)]
+    verdicts = ["block", "block", "block", "allow"]
+    rows = [(i, u, verdicts[i % 4]) for i, u in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    mined = urls.mine(df.select(urls.tokens(*urls.parts(df.url), df.url).alias("tokens"), "verdict"))
+    for token in ("label:casino-win", "segment:spam", "name:track"):
+        assert (frozenset({token}), "block", 1.0, 0.25) in mined
+
+
+def test_mining_against_all_combinations(spark):
+    rng = random.Random(8)
+    rows = [([f"t{k}" for k in range(7) if rng.random() < 0.5], rng.choice(["allow", "block", "block"])) for _ in range(120)]
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.7)
+    from itertools import combinations
+
+    every = []
+    for k in range(1, 8):
+        for c in map(frozenset, combinations([f"t{i}" for i in range(7)], k)):
+            said = [v for t, v in rows if c <= set(t)]
+            every += [(c, v, said.count(v) / len(said), said.count(v) / 120) for v in ("allow", "block") if said.count(v) >= 3 and said.count(v) >= 0.7 * len(said)]
+    want = [r for r in every if not any(o[1] == r[1] and o[0] < r[0] and o[2] >= r[2] for o in every)]
+    assert set(got) == set(want) and len(got) == len(want) > 5
+
+
 def check_packing(rows, texts, capacity):
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces, sequences = {}, {}

@@ -1,30 +1,31 @@
 """URL filters: fixed host and path rules, and association rules mined from what those label.
 
-The fixed rules label the urls that they fit. FP-growth finds combinations of url tokens that
-come with a label often enough (``min_support``) and almost always (``min_confidence``); of
-those rules the most general stay. An inverted index from a rule's rarest token to the rule
-matches them against the urls that no fixed rule fits; the rule of most confidence (then
-support, then tokens in order) decides, and ``allow`` is the verdict where none fits.
-
-A url has at most ``MOST_TOKENS`` tokens of fixed kinds, so it holds 2**MOST_TOKENS - 1
-combinations and at most that many over ``min_support`` can be frequent, however many urls
-there are: the mined rules have a bound that does not depend on the input.
+The fixed rules label the urls that they fit. A level-wise search finds combinations of url
+tokens that come with a label often enough (``min_support``) and almost always
+(``min_confidence``); of those rules the most general stay. An inverted index from a rule's
+rarest token to the rule matches them against the urls that no fixed rule fits; the rule of
+most confidence (then support, then tokens in order) decides, and ``allow`` is the verdict
+where none fits.
+
+Urls are not cut. What the search holds is bounded by the support, however many urls there
+are: only frequent tokens are combined, and a combination grows no further where a more
+general one has the same urls or its verdict is certain, as the rule would not stay.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import combinations
+from math import ceil
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import cut
 
-MOST_TOKENS = 8
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,17 +50,26 @@ def fixed_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colum
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """At most ``MOST_TOKENS`` different tokens: scheme, host, its last two labels, first label, first two path segments, extension, and whether there is a query."""
+    """Different tokens: scheme, host, its last two labels, last, first and all labels, first, second and all path segments, extension, whether there is a query, its names, and the words in labels and segments."""
     labels, segments = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda s: s != "")
     n = F.size(labels)
 
     def word(kind: str, value: Column, when: Column) -> Column:
         return F.when(when & (value != ""), F.concat(F.lit(kind + ":"), value))
 
-    def segment(k: int) -> Column:
-        s = F.get(segments, F.lit(k))
+    def named(s: Column) -> Column:
         return F.when(s.rlike(r"^\d+(\.\w+)?$"), F.lit("<number>")).otherwise(s)
 
+    def segment(k: int) -> Column:
+        return named(F.get(segments, F.lit(k)))
+
+    def each(kind: str, values: Column) -> Column:
+        return F.transform(F.filter(values, lambda v: v != ""), lambda v: F.concat(F.lit(kind + ":"), v))
+
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    names = F.transform(F.split(query, "[&;]"), lambda q: F.substring_index(q, "=", 1))
+    words = F.filter(F.split(F.concat_ws("/", host, path), r"[^\p{L}\p{N}]+"), lambda w: ~w.rlike(r"^\d+$"))
+
     found = [
         word("scheme", F.substring_index(url, "://", 1), F.instr(url, "://") > 0),
         word("host", host, host != ""),
@@ -68,19 +78,48 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
         word("sub", F.get(labels, F.lit(0)), n >= 3),
         word("first", segment(0), F.size(segments) >= 1),
         word("second", segment(1), F.size(segments) >= 2),
+        word("extension", F.lower(F.regexp_extract(path, r"[^/]\.(\w+)$", 1)), path != ""),
         word("query", F.lit("yes"), F.instr(url, "?") > 0),
     ]
-    return F.filter(F.array_distinct(F.array(*found)), lambda t: t.isNotNull())
+    all_ = F.concat(F.array(*found), each("label", labels), each("segment", F.transform(segments, named)), each("name", names), each("word", words))
+    return F.coalesce(F.filter(F.array_distinct(all_), lambda t: t.isNotNull()), F.array().cast("array<string>"))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[frozenset[str], str, float, float]]:
     """(tokens, verdict, confidence, support) of ``labelled`` (tokens, verdict); no rule has another of its verdict and no less confidence within it."""
-    if labelled.isEmpty():
+    baskets = cut(labelled.select("tokens", "verdict"))
+    total = baskets.count()
+    least = max(1, ceil(min_support * total))
+    if not total:
         return []
-    baskets = cut(labelled.select(F.array_append("tokens", F.concat(F.lit("="), F.col("verdict"))).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.filter(F.get("consequent", F.lit(0)).startswith("=") & ~F.exists("antecedent", lambda t: t.startswith("=")))
-    rows = [(frozenset(r["antecedent"]), r["consequent"][0][1:], r["confidence"], r["support"]) for r in found.collect()]  # bounded: see above
+
+    def frequent(counts: DataFrame) -> list[tuple[tuple[str, ...], int, dict[str, int]]]:
+        """Combinations, their urls, and those with each verdict; of ``items``, ``verdict``, ``n``."""
+        sums = counts.groupBy("items", "verdict").agg(F.sum("n").alias("n")).groupBy("items").agg(F.sum("n").alias("all"), F.collect_list(F.struct("verdict", "n")).alias("each"))
+        rows = sums.filter(F.exists("each", lambda e: e["n"] >= least)).collect()  # bounded by the support: see above
+        return [(tuple(r["items"]), r["all"], {e["verdict"]: e["n"] for e in r["each"] if e["n"] >= least}) for r in rows]
+
+    level = frequent(baskets.select(F.explode("tokens").alias("t"), "verdict").select(F.array("t").alias("items"), "verdict", F.lit(1).alias("n")))
+    known = F.array_sort(F.array_intersect("tokens", F.array(*(F.lit(t[0]) for t, _, _ in level)))) if level else F.array().cast("array<string>")
+    small = cut(baskets.groupBy(known.alias("tokens"), "verdict").agg(F.count("*").alias("n"))) if level else None
+    rows, size, often = [], 1, {(): total}
+    while level:
+        rows += [(frozenset(t), v, k / n, k / total) for t, n, each in level for v, k in each.items() if k >= min_confidence * n]
+        often |= {t: n for t, n, _ in level}
+        live: dict[str, set[tuple[str, ...]]] = defaultdict(set)
+        for t, n, each in level:
+            if all(often.get(s) != n for s in combinations(t, size - 1)):
+                for v, k in each.items():
+                    if k < n:
+                        live[v].add(t)
+        candidates = set()
+        for sets in live.values():
+            by_start: dict[tuple[str, ...], list[str]] = defaultdict(list)
+            for t in sets:
+                by_start[t[:-1]].append(t[-1])
+            joined = ((*start, *pair) for start, ends in by_start.items() for pair in combinations(sorted(ends), 2))
+            candidates |= {c for c in joined if all(s in sets for s in combinations(c, size))}
+        level, size = frequent(_count(small, candidates)) if candidates else [], size + 1
     kept: list[tuple[frozenset[str], str, float, float]] = []
     for rule in sorted(rows, key=lambda r: (len(r[0]), -r[2], sorted(r[0]))):
         if not any(k[1] == rule[1] and k[0] < rule[0] and k[2] >= rule[2] for k in kept):
@@ -88,6 +127,25 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return kept
 
 
+def _count(baskets: DataFrame, candidates: set[tuple[str, ...]]) -> DataFrame:
+    """``items``, ``verdict`` and ``n`` of each candidate in each part of ``baskets`` (sorted tokens, verdict, n)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_first, found = defaultdict(list), Counter()
+        for c in candidates:
+            by_first[c[0]].append((c, frozenset(c)))
+        for batch in batches:
+            for have, verdict, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole = set(have)
+                for t in have:
+                    for c, parts_ in by_first.get(t, ()):
+                        if parts_ <= whole:
+                            found[c, verdict] += n
+        yield pa.RecordBatch.from_arrays([pa.array([list(c) for c, _ in found], pa.list_(pa.string())), pa.array([v for _, v in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["items", "verdict", "n"])
+
+    return baskets.mapInArrow(run, "items array<string>, verdict string, n long")
+
+
 class RuleIndex:
     """Rules by their rarest token."""
 
