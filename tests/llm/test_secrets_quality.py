@@ -73,6 +73,14 @@ def test_added_spans_are_costly_and_new():
     assert [(k, text[a:b]) for k, a, b, _ in spans if k == "guess"] == [("guess", "x7#Kq9$Lm2!v")]
 
 
+def test_values_past_a_base_span_and_of_letters():
+    text = "password = Tr0ub4dor&3-horse!X9 and pwd: kQzXvWmTrLpN, but password=Tr0ub4dor3horseX9 and pwd: dragonmonkey"
+    spans = secrets.find_spans(text)
+    assert [text[a:b] for k, a, b, _ in spans if k == "guess"] == ["Tr0ub4dor&3-horse!X9", "kQzXvWmTrLpN"]
+    found = [dict(zip(("kind", "start", "end", "log10_guesses"), s, strict=True)) for s in spans]
+    assert secrets.replace_spans(text, found) == "[assign] and pwd: [guess], but [assign] and pwd: dragonmonkey"
+
+
 def test_mask(odd, empty, odd_rows):
     got = secrets.mask(odd).collect()
     assert len(got) == len(odd_rows) and secrets.mask(empty).count() == 0

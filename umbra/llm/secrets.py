@@ -3,8 +3,8 @@
 Base patterns give spans of the kinds assign, access and hex. A dynamic programme estimates
 how many guesses a value takes: the cheapest segmentation into common words, dates, repeats,
 keyboard walks and brute-force spans. The value of every base assignment gets its cost; a
-value in a wider credential context that costs ``min_log10_guesses`` or more, has a digit or
-symbol in it and overlaps no base span is added as a span of the kind guess.
+value in a wider credential context that costs ``min_log10_guesses`` or more and reaches past
+the base spans is added whole as a span of the kind guess.
 """
 
 from __future__ import annotations
@@ -116,7 +116,10 @@ def find_spans(text: str, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list[
     for m in _CONTEXT.finditer(text):
         value = m[1].rstrip("\"').,;")
         a, b = m.start(1), m.start(1) + len(value)
-        if len(value) < 8 or value.isalpha() or any(x < b and a < y for x, y in taken):
+        held = a
+        for x, y in taken:
+            held = max(held, y) if x <= held else held
+        if len(value) < 8 or held >= b:
             continue
         if (cost := log10_guesses(value)) >= min_log10_guesses:
             out.append(("guess", a, b, cost))
