@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -81,6 +82,14 @@ def test_values_past_a_base_span_and_of_letters():
     assert secrets.replace_spans(text, found) == "[assign] and pwd: [guess], but [assign] and pwd: dragonmonkey"
 
 
+def test_long_repeats_and_walks_are_one_pattern():
+    cost = secrets.log10_guesses
+    assert abs(cost("*" * 96) - (math.log10(33) + math.log10(96))) < 1e-9
+    assert abs(cost("x7#Kq" * 9) - (cost("x7#Kq") + math.log10(9))) < 1e-9 and abs(cost("qw" * 60) - math.log10(94 * 120)) < 1e-9
+    assert abs(cost("ab#" * 2 + "monkey") - (cost("ab#") + math.log10(2) + cost("monkey"))) < 1e-9
+    assert [k for k, *_ in secrets.find_spans("pwd: " + "*" * 300)] == []
+
+
 def test_mask(odd, empty, odd_rows):
     got = secrets.mask(odd).collect()
     assert len(got) == len(odd_rows) and secrets.mask(empty).count() == 0

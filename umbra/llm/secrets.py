@@ -27,8 +27,6 @@ KINDS = ("assign", "access", "hex", "guess")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: A value that takes fewer guesses is a word or a pattern rather than a generated secret.
 MIN_LOG10_GUESSES = 9.0
-#: Longest word, date, repeat or walk that the dynamic programme looks for.
-MOST_PATTERN = 32
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -85,23 +83,54 @@ def log10_guesses(value: str) -> float:
             word = plain[i:j]
             if word in _WORD_COST:
                 edges[i].append((j, _WORD_COST[word] + (value[i:j] != word) * math.log10(2)))
-        j = i + 1
-        while j < n and j - i < MOST_PATTERN and lower[j - 1] + lower[j] in _WALKS:
-            j += 1
-            if j - i >= 3:
-                edges[i].append((j, math.log10(47 * 2 * (j - i))))
-        for unit in (1, 2, 3, 4):
-            j = i + unit
-            while j + unit <= n and j - i < MOST_PATTERN and value[j : j + unit] == value[i : i + unit]:
-                j += unit
-                if j - i >= 3:
-                    edges[i].append((j, sum(brute[i : i + unit]) + math.log10((j - i) // unit)))
-    best = [0.0] + [math.inf] * n
+    best = np.full(n + 1, math.inf)
+    best[0] = 0.0
+    walks, repeats = _walk_ends(lower), _repeats(value)
+    sums = np.concatenate([[0.0], np.cumsum(brute)])
     for i in range(n):
-        best[i + 1] = min(best[i + 1], best[i] + brute[i])
+        here = best[i]
+        best[i + 1] = min(best[i + 1], here + brute[i])
         for j, cost in edges[i]:
-            best[j] = min(best[j], best[i] + cost)
-    return best[n]
+            best[j] = min(best[j], here + cost)
+        if (j := walks[i]) >= i + 3:
+            ends = best[i + 3 : j + 1]
+            np.minimum(ends, here + np.log10(47 * 2 * np.arange(3, j - i + 1)), out=ends)
+        for unit, times in repeats.get(i, ()):
+            least = max(2, -(-3 // unit))
+            if times >= least:
+                ends = best[i + least * unit : i + times * unit + 1 : unit]
+                np.minimum(ends, here + sums[i + unit] - sums[i] + np.log10(np.arange(least, times + 1)), out=ends)
+    return float(best[n])
+
+
+def _walk_ends(lower: str) -> list[int]:
+    """Where the longest walk from each character ends."""
+    ends = list(range(1, len(lower) + 1))
+    for i in range(len(lower) - 2, -1, -1):
+        if lower[i] + lower[i + 1] in _WALKS:
+            ends[i] = ends[i + 1]
+    return ends
+
+
+def _runs(codes: np.ndarray, unit: int) -> np.ndarray:
+    """For each place, how many characters on are equal to the one ``unit`` later."""
+    n = len(codes) - unit
+    at = np.where(codes[:n] != codes[unit:], np.arange(n), n)
+    return np.minimum.accumulate(at[::-1])[::-1] - np.arange(n)
+
+
+def _repeats(value: str) -> dict[int, list[tuple[int, int]]]:
+    """By place, the units that follow one another there, and how often at most; a unit that is itself a repeat costs more than its own unit and is left out."""
+    codes, out = np.array([ord(c) for c in value], np.int32), {}
+    for unit in range(1, len(value) // 2 + 1):
+        runs = _runs(codes, unit)
+        at = np.flatnonzero(runs >= unit)
+        for part in range(1, unit // 2 + 1) if len(at) else ():
+            if unit % part == 0 and len(at):
+                at = at[_runs(codes, part)[at] < unit - part]
+        for i in at.tolist():
+            out.setdefault(i, []).append((unit, int(runs[i]) // unit + 1))
+    return out
 
 
 def find_spans(text: str, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list[tuple[str, int, int, float | None]]:
