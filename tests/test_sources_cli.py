@@ -124,3 +124,11 @@ def test_stream_windows(spark, tmp_path):
     query = findings_by_window(stream, Sanitizer(), "ts").writeStream.format("memory").queryName("found").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r.n for r in spark.sql("SELECT n FROM found ORDER BY start").collect()] == [10, 10, 10, 10]
+
+
+def test_file_scan_is_said_to_be_the_small_case(spark):
+    from umbra import catalog
+
+    got = {r.name: (r.findings, r.skipped) for r in catalog.file_scan(spark, "").collect()}
+    assert set(got) == {".env", "blob.bin", "plain.txt"} and got["blob.bin"][1] == "binary" and got[".env"][0] == 1
+    assert "own sources" not in catalog.file_scan.__doc__ and "read_store" in catalog.file_scan.__doc__

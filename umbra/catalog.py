@@ -224,7 +224,10 @@ def unified_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """This package's own sources, and three files written for it."""
+    """Three files of a few bytes, written for it to a folder of this machine: a small case of the local file source.
+
+    Executors on other machines cannot read them; a tree in shared storage is read by ``sources.files.read_store``.
+    """
     folder = tempfile.mkdtemp(prefix="umbra-scan-")
     for name, content in ((".env", b"API_KEY=" + b"k9" * 8), ("blob.bin", b"a\0b"), ("plain.txt", b"nothing here")):
         with open(os.path.join(folder, name), "wb") as f:
