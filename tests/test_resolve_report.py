@@ -10,7 +10,7 @@ from umbra.config import Config
 from umbra.functions.text import entropy, fingerprint, spans
 from umbra.operators import report
 from umbra.operators.detect import MATCHES
-from umbra.operators.python_rules import BackendUnavailable, parse_reply, proposed_spans, unified_diff
+from umbra.operators.python_rules import BackendUnavailable, Counted, HttpBackend, named_parts, parse_reply, unified_diffs
 from umbra.operators.resolve import resolve, resolve_relational
 from umbra.plans.sanitize import Sanitizer
 
@@ -116,15 +116,94 @@ class Fake:
 
 def test_model_rule(spark):
     reply = 'Here: [{"text": " pig latin ", "type": "Phrase"}, {"text": "invented"}, {"text": "abc"}, 7]'
-    assert proposed_spans("pig latin, pig latin", Fake(reply)) == [(0, 9, "pig latin", "Phrase"), (11, 20, "pig latin", "Phrase")]
-    errors = []
-    assert proposed_spans("text", Fake(None), on_error=errors.append) == [] and len(errors) == 1
-    assert proposed_spans("  ", Fake("boom")) == [] and parse_reply("no json") == [] and parse_reply('{"a": 1}') == []
-    df = spark.createDataFrame([("say pig latin now",)], "text string")
-    assert Sanitizer.from_config(Config(), Fake(reply)).sanitize(df).first().sanitized == "say [REDACTED: Phrase] now"
-    assert Sanitizer.from_config(Config(), Fake(None)).sanitize(df).first().sanitized == "say pig latin now"
+    assert named_parts(reply, 4) == [{"value": "pig latin", "label": "Phrase"}, {"value": "invented", "label": "Sensitive Value"}]
+    assert parse_reply("no json") == parse_reply('{"a": 1}') == parse_reply("[1] or [2]") == parse_reply("] [") == []
+    assert parse_reply('{"found": [{"text": "x"}]} ok') == [{"text": "x"}]
+    df = spark.createDataFrame([("say pig latin now, pig latin",), (" \n",), (None,), ("\\Epig latin\\E",)], "text string").repartition(2)
+    done = sorted(str(r.sanitized) for r in Sanitizer.from_config(Config(), Fake(reply)).sanitize(df).collect())
+    assert done == sorted(["say [REDACTED: Phrase] now, [REDACTED: Phrase]", " \n", "None", "\\E[REDACTED: Phrase]\\E"])
+    awkward = Fake(json.dumps([{"text": "a\\E.b\\Qc"}]))
+    odd = spark.createDataFrame([("xa\\E.b\\Qcy a\\E+b",)], "text string")
+    assert Sanitizer.from_config(Config(), awkward).sanitize(odd).first().sanitized == "x[REDACTED: Sensitive Value]y a\\E+b"
+
+
+def test_model_failures_are_counted(spark):
+    failures = Counted(spark)
+    df = spark.createDataFrame([("say pig latin now",), ("more",), (" ",)], "text string")
+    done = Sanitizer.from_config(Config(), Fake(None), failures).sanitize(df).collect()
+    assert {r.sanitized for r in done} == {"say pig latin now", "more", " "} and failures.total.value == 2
+
+
+def test_http_backend():
+    import http.server
+    import threading
+
+    asked = []
+
+    class Model(http.server.BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            asked.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"]))), self.client_address))
+            raw = json.dumps({"response": f"reply {len(asked)}"}).encode()
+            self.send_response(500 if len(asked) == 3 else 200)
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    backend = HttpBackend("m", f"http://127.0.0.1:{server.server_port}", 10)
+    try:
+        assert [backend.complete("a"), backend.complete("b")] == ["reply 1", "reply 2"]
+        assert asked[0][:2] == ("/api/generate", {"model": "m", "prompt": "a", "stream": False, "options": {"temperature": 0}}) and asked[0][2] == asked[1][2]
+        import pickle
+
+        import pytest
+
+        with pytest.raises(BackendUnavailable):
+            backend.complete("c")
+        assert pickle.loads(pickle.dumps(backend)).complete("d") == "reply 4"
+    finally:
+        server.shutdown()
+    with pytest.raises(BackendUnavailable):
+        HttpBackend("m", "http://127.0.0.1:9", 1).complete("e")
 
 
 def test_diff(spark):
-    df = spark.createDataFrame([("a\nb\n", "a\nc\n", "f")], "x string, y string, n string")
-    assert df.select(unified_diff("x", "y", "n")).first()[0] == "--- f (original)\n+++ f (sanitized)\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n"
+    df = spark.createDataFrame([("a\nb\n", "a\nc\n", "f"), (None, None, "g"), ("same", "same", "h")], "x string, y string, n string")
+    want = {"f": "--- f (original)\n+++ f (sanitized)\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n", "g": "", "h": ""}
+    for _ in range(2):
+        assert {r.n: r.diff for r in unified_diffs(df, "n", "x", "y").collect()} == want
+
+
+def test_one_text(spark):
+    import umbra
+
+    done = umbra.sanitize_text(spark, "mail a@b.org", umbra.Sanitizer.from_config(umbra.Config(redact_pii=True)))
+    assert done.text == "mail [REDACTED: Email Address]" and done.redaction_count == 1 and done.matches[0].value == "a@b.org"
+    assert umbra.sanitize_text(spark, None) == (None, ())
+
+
+def test_each_pattern_is_in_the_plan_once(spark, small):
+    from umbra import catalog
+    from umbra.operators.specs import SPECS
+
+    for name in ("detect_all_pii", "redact_documents", "scan_totals", "summary_by_label", "resolve_overlaps"):
+        plan = catalog.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        for spec in SPECS:
+            if spec.default_on or spec.category == "pii":
+                assert plan.count(f"regexp_extract_all(text#") <= 32, name
+        assert plan.count("md5(") <= 2, name
+
+
+def test_columns_with_inner_names(spark):
+    df = spark.createDataFrame([("a@b.org", 1, 2, 3, 4)], "text string, __rule int, __proposed int, __pairs int, __filled int")
+    from umbra.config import CustomRule
+
+    config = Config(redact_pii=True, custom_rules=(CustomRule("n", "L", "b"),))
+    row = Sanitizer.from_config(config, Fake("[]")).sanitize(df).first()
+    assert row.sanitized == "[REDACTED: Email Address]" and (row["__rule"], row["__proposed"], row["__pairs"], row["__filled"]) == (1, 2, 3, 4)

@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from umbra import oracle
 from umbra.config import Config, CustomRule
-from umbra.functions.text import entropy, luhn, spans
-from umbra.operators import report
+from umbra.functions.text import entropy, luhn, once, spans
+from umbra.operators import python_rules, report
 from umbra.operators.detect import MATCHES, allow, detect, detect_one
-from umbra.operators.python_rules import unified_diff
 from umbra.operators.resolve import resolve_relational
-from umbra.operators.specs import BY_NAME, SPECS, active_specs, assignment_label
+from umbra.operators.specs import BY_NAME, SPECS, active_specs, assignment_label, listing
 from umbra.plans.sanitize import Sanitizer
 from umbra.sources.files import read_files
+from umbra.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,20 +56,31 @@ DERIVED = {
     "connection_string_password": f"concat('postgres://u:', {M}, '@h/db')",
     "url_basic_auth_password": f"concat('https://u:', {M}, '@h/x')",
     "us_ssn": "concat(lpad(cast(event_id % 1000 AS string), 3, '0'), '-12-3456')",
+    # in turn: mixed letters, one character too few, hex (varied enough at exactly 4 bits), and hex as it comes
+    "high_entropy_string": f"CASE event_id % 4 WHEN 0 THEN concat(substr({M}, 1, 16), upper({M}), '+/Zz') WHEN 1 THEN concat(upper(substr({M}, 1, 12)), 'ghijklmnopq') WHEN 2 THEN '0123456789abcdeffedcba9876543210' ELSE {M} END",
 }
 #: A line in front, so that offsets are not all alike.
 FRONT = "repeat('x', cast(event_id % 7 AS int))"
 SALT, TEMPLATE, EXEMPT = "umbra", "<<{label}{suffix}>>", r"mail[0-4]\.example\.com"
 DSN = f"concat('db=postgres://ann:pw', substr({M}, 1, 6), '@mail.example.com/x token=', {M})"
+DSN_TEXT = f"concat({FRONT}, chr(10), {DSN})"
+#: What a backend without a model proposes in the query below.
+TERMS = {"tion": "Ending", "ation": "Longer Ending", "ther": "Middle"}
+RULE_WORD = r"\b(?P<w>[tT]he) (?=[a-z])"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
-def _derived(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select("event_id", F.expr(f"concat({FRONT}, chr(10), {expression})").alias("text"))
+def _around(expression: str) -> str:
+    """SQL of a text with the match alone on a line, glued to a letter, cut short, and twice in a row."""
+    short = f"substr({expression}, 1, cast(event_id % 48 AS int))"
+    return f"concat({FRONT}, chr(10), {expression}, chr(10), 'x', {expression}, chr(10), {short}, chr(10), {expression}, ' ', {expression}, chr(10), '_', {expression}, ';')"
+
+
+def _derived(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return once(read_table(spark, sf_dir, "events", "event_id"), "text", F.expr(text))
 
 
 def _rows(df: DataFrame, key: str) -> DataFrame:
@@ -80,9 +91,8 @@ def _rows(df: DataFrame, key: str) -> DataFrame:
 def _detector(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         spec = BY_NAME[name]
-        if name in DERIVED:
-            return _rows(_derived(spark, sf_dir, DERIVED[name]).withColumn("matches", detect_one(F.col("text"), spec, 0)), "event_id")
-        return _rows(_documents(spark, sf_dir).withColumn("matches", detect_one(F.col("text"), spec, 0)), "doc_id")
+        rows = _derived(spark, sf_dir, _around(DERIVED[name])) if name in DERIVED else _documents(spark, sf_dir)
+        return _rows(once(rows, "matches", detect_one(F.col("text"), spec, 0)), "event_id" if name in DERIVED else "doc_id")
 
     return query
 
@@ -92,29 +102,28 @@ def _pii(**more) -> Sanitizer:
 
 
 def detect_all_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_documents(spark, sf_dir).withColumn("matches", detect(F.col("text"), active_specs())), "doc_id")
+    return _rows(once(_documents(spark, sf_dir), "matches", detect(F.col("text"), active_specs())), "doc_id")
 
 
 def detect_all_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_documents(spark, sf_dir).withColumn("matches", detect(F.col("text"), active_specs(redact_pii=True))), "doc_id")
+    return _rows(once(_documents(spark, sf_dir), "matches", detect(F.col("text"), active_specs(redact_pii=True))), "doc_id")
 
 
 def detect_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return _rows(_pii().scan(pages, "html"), "page_id")
+    return _rows(_pii().scan(read_table(spark, sf_dir, "pages", "page_id", "html"), "html"), "page_id")
 
 
 def allowlist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _documents(spark, sf_dir).withColumn("matches", detect_one(F.col("text"), BY_NAME["email"], 0))
-    return _rows(found.withColumn("matches", allow(F.col("matches"), [EXEMPT])), "doc_id")
+    found = allow(detect_one(F.col("text"), BY_NAME["email"], 0), [EXEMPT])
+    return _rows(once(_documents(spark, sf_dir), "matches", found), "doc_id")
 
 
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(_pii().scan(_derived(spark, sf_dir, DSN)), "event_id")
+    return _rows(_pii().scan(_derived(spark, sf_dir, DSN_TEXT)), "event_id")
 
 
 def resolve_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _pii().detect(_derived(spark, sf_dir, DSN)).select("event_id", F.explode("matches").alias("m"))
+    found = _pii().detect(_derived(spark, sf_dir, DSN_TEXT)).select("event_id", F.explode_outer("matches").alias("m")).filter("m IS NOT NULL")
     rows = resolve_relational(found, "event_id")
     return rows.select("event_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", "label", "confidence")
 
@@ -141,7 +150,7 @@ def redact_allowlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _pii().sanitize(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"))
+    done = _pii().sanitize(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text"))
     return done.select("conv_id", "turn", "sanitized", F.col("redaction_count").cast("long").alias("redaction_count"))
 
 
@@ -166,8 +175,9 @@ def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _scanned(spark, sf_dir).select("doc_id", F.posexplode(report.audit_records(F.col("matches"), F.lit(SALT))).alias("position", "r"))
-    return records.select("doc_id", F.col("position").cast("long").alias("position"), "r.kind", "r.label", F.col("r.length").cast("long").alias("length"), "r.fingerprint")
+    records = _scanned(spark, sf_dir).select("doc_id", F.posexplode_outer(report.audit_records(F.col("matches"), F.lit(SALT))).alias("position", "r")).filter("position IS NOT NULL")
+    numbers = (F.col(c).cast("long").alias(c.rpartition(".")[2]) for c in ("position", "r.start", "r.end", "r.length"))
+    return records.select("doc_id", *numbers, "r.kind", "r.label", "r.detector", "r.fingerprint")
 
 
 def audit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,48 +189,43 @@ def preview_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entropy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(M).alias("m"))
+    events = once(read_table(spark, sf_dir, "events", "event_id"), "m", F.expr(M))
     return events.select("event_id", F.round(entropy(F.col("m")), 9).alias("entropy"))
 
 
 def luhn_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _documents(spark, sf_dir).select("doc_id", F.explode(spans(F.col("text"), r"(?U)\b[0-9]{4}(?:[ -]?[0-9]{4}){3}")).alias("x"))
+    found = _documents(spark, sf_dir).select("doc_id", F.explode_outer(spans(F.col("text"), r"(?U)\b[0-9]{4}(?:[ -]?[0-9]{4}){3}")).alias("x")).filter("x IS NOT NULL")
     return found.select("doc_id", F.col("x.start").cast("long").alias("start"), luhn(F.col("x.value")).alias("valid"))
 
 
 def assignment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _documents(spark, sf_dir).select("doc_id", F.explode(detect_one(F.col("text"), BY_NAME["assignment_secret"], 0)).alias("m"))
+    found = _documents(spark, sf_dir).select("doc_id", F.explode_outer(detect_one(F.col("text"), BY_NAME["assignment_secret"], 0)).alias("m")).filter("m IS NOT NULL")
     return found.groupBy(F.col("m.label").alias("label")).agg(F.count("*").alias("n"))
 
 
 def keyword_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr("concat('DB_', element_at(array('PASSWORD', 'api-key', 'Api_Key', 'AWS_SECRET_ACCESS_KEY', 'credential', 'pwd'), cast(event_id % 6 AS int) + 1))").alias("key"))
+    parts = read_table(spark, sf_dir, "events", "event_id").select("event_id", F.expr("concat('DB_', element_at(array('PASSWORD', 'api-key', 'Api_Key', 'AWS_SECRET_ACCESS_KEY', 'credential', 'pwd'), cast(event_id % 6 AS int) + 1))").alias("key"))
     return parts.groupBy(assignment_label(F.col("key")).alias("label")).agg(F.count("*").alias("n"))
 
 
-def custom_rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rule = CustomRule("the_word", "The Word", r"\b(?P<w>[tT]he) (?=[a-z])", 0.9, 1)
-    return _rows(Sanitizer.from_config(Config(custom_rules=(rule,), disabled_detectors=frozenset(s.name for s in SPECS))).scan(_documents(spark, sf_dir)), "doc_id")
-
-
-class EchoBackend:
-    """A backend for tests: proposes the longest word of the text, and one that the text does not hold."""
+def detector_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing(spark)
 
-    def complete(self, prompt: str) -> str:
-        import json
 
-        words = prompt.rstrip().rsplit("\n\n", 1)[-1].split()
-        return "Sure: " + json.dumps([{"text": max(words, key=len, default=""), "type": "Word"}, {"text": "not in the text at all"}, 3])
+def custom_rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = CustomRule("the_word", "The Word", RULE_WORD, 0.9, 1)
+    return _rows(Sanitizer.from_config(Config(custom_rules=(rule,), disabled_detectors=frozenset(s.name for s in SPECS))).scan(_documents(spark, sf_dir)), "doc_id")
 
 
 def model_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return _rows(Sanitizer.from_config(Config(), EchoBackend()).scan(turns), "conv_id")
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    found = Sanitizer.from_config(Config(disabled_detectors=frozenset(s.name for s in SPECS)), python_rules.LexiconBackend(TERMS)).scan(turns)
+    return report.findings(found, "conv_id", "turn").select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", "label", "confidence")
 
 
 def unified_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _pii().sanitize(_documents(spark, sf_dir)).filter("redaction_count > 0")
-    return done.select("doc_id", unified_diff("text", "sanitized", F.concat(F.lit("doc-"), F.col("doc_id"))).alias("diff"))
+    done = _pii().sanitize(_documents(spark, sf_dir).select("doc_id", "text")).filter("redaction_count > 0")
+    return python_rules.unified_diffs(done, "doc_id", name=F.concat(F.lit("doc-"), F.col("doc_id")))
 
 
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +245,7 @@ def queries() -> dict[str, Query]:
     named = (
         redact_documents, redact_no_numbering, redact_custom_template, redact_allowlisted, redact_conversations, detect_all_default, detect_all_pii,
         detect_all_pages, allowlist_filter, resolve_overlaps, resolve_rows, summary_by_label, summary_by_lang_label, scan_report, scan_totals,
-        audit_records, audit_documents, preview_lines, entropy_scores, luhn_flags, assignment_labels, keyword_labels, custom_rule_matches,
+        audit_records, audit_documents, preview_lines, entropy_scores, luhn_flags, assignment_labels, keyword_labels, detector_listing, custom_rule_matches,
         model_matches, unified_diffs, file_scan,
     )
     return {f.__name__: f for f in named} | {f"detect_{s.name}": _detector(s.name) for s in SPECS}
@@ -250,12 +255,11 @@ def oracle_sql() -> dict[str, str]:
     def rows(found: str, key: str) -> str:
         return f"SELECT k AS {key}, s::BIGINT AS start, e::BIGINT AS \"end\", kind, label, confidence FROM ({found})"
 
-    def derived(expression: str) -> str:
-        expression = expression.replace("AS string", "AS VARCHAR")
-        return f"(SELECT event_id, concat({FRONT}, chr(10), {expression}) AS text FROM events)"
+    def derived(text: str) -> str:
+        return f"(SELECT event_id, {text.replace('AS string', 'AS VARCHAR')} AS text FROM events)"
 
     pii, default = active_specs(redact_pii=True), active_specs()
-    found = {"detect_" + s.name: rows(oracle.hits(derived(DERIVED[s.name]), "event_id", "text", s, 0), "event_id") if s.name in DERIVED else rows(oracle.hits("documents", "doc_id", "text", s, 0), "doc_id") for s in SPECS}
+    found = {"detect_" + s.name: rows(oracle.hits(derived(_around(DERIVED[s.name])), "event_id", "text", s, 0), "event_id") if s.name in DERIVED else rows(oracle.hits("documents", "doc_id", "text", s, 0), "doc_id") for s in SPECS}
     hits = oracle.all_hits("documents", "doc_id", "text", pii)
     resolved = oracle.islands(hits)
     exempt = f"SELECT * FROM ({hits}) WHERE NOT regexp_matches(v, {oracle.quote(EXEMPT)})"
@@ -263,12 +267,14 @@ def oracle_sql() -> dict[str, str]:
     def redacted(source: str, **more) -> str:
         return f"SELECT k AS doc_id, sanitized, n AS redaction_count FROM ({oracle.redacted('documents', 'doc_id', 'text', source, **more)})"
 
-    dsn = oracle.islands(oracle.all_hits(derived(DSN), "event_id", "text", pii))
+    dsn = oracle.islands(oracle.all_hits(derived(DSN_TEXT), "event_id", "text", pii))
     turns = "(SELECT struct_pack(conv_id, turn, text, r := row_number() OVER ()) AS key, text FROM conversations)"
     turns_found = oracle.islands(oracle.all_hits(turns, "key", "text", pii))
     scan = f"SELECT k AS doc_id, count(*) AS findings, string_agg(DISTINCT label, ', ' ORDER BY label) AS labels FROM ({resolved}) GROUP BY k"
     cards = oracle.spans("documents", "doc_id", "text", r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}")
     keyword = found["detect_assignment_secret"]
+    words = oracle.spans("documents", "doc_id", "text", "[tT]he ")
+    named = " UNION ALL ".join(f"SELECT k, t, s, e, v, {len(SPECS) + i} AS ord, 'llm_secret' AS kind, {oracle.quote(kind)} AS label, 0.7::DOUBLE AS confidence FROM ({oracle.spans(turns, 'key', 'text', term)})" for i, (term, kind) in enumerate(TERMS.items()))
     return found | {
         "detect_all_default": rows(oracle.all_hits("documents", "doc_id", "text", default), "doc_id"),
         "detect_all_pii": rows(hits, "doc_id"),
@@ -285,7 +291,12 @@ def oracle_sql() -> dict[str, str]:
         "summary_by_lang_label": f"SELECT lang, label, count(*) AS n FROM ({resolved}) JOIN documents ON k = doc_id GROUP BY lang, label",
         "scan_report": scan,
         "scan_totals": f"SELECT count(*) AS rows_with_findings, coalesce(sum(findings), 0)::BIGINT AS findings FROM ({scan})",
-        "audit_records": f"SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY s) - 1 AS position, kind, label, e - s AS length, substr(sha256('{SALT}' || v), 1, 12) AS fingerprint FROM ({resolved})",
+        "audit_records": f"SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY s) - 1 AS position, kind, label, kind AS detector, s::BIGINT AS start, e::BIGINT AS \"end\", (e - s)::BIGINT AS length, substr(sha256('{SALT}' || v), 1, 12) AS fingerprint FROM ({resolved})",
+        "audit_documents": f"SELECT k AS doc_id, audit FROM ({oracle.audit('documents', 'doc_id', resolved, SALT)})",
+        "detector_listing": "SELECT place::BIGINT AS place, name, label, confidence::DOUBLE AS confidence, category, default_on FROM (VALUES " + ", ".join(f"({i}, {oracle.quote(s.name)}, {oracle.quote(s.label) if s.label else 'NULL'}, {s.confidence}, {oracle.quote(s.category)}, {s.default_on})" for i, s in enumerate(SPECS)) + ") AS x(place, name, label, confidence, category, default_on)",
+        "custom_rule_matches": f"SELECT k AS doc_id, s::BIGINT AS start, s::BIGINT + 3 AS \"end\", 'the_word' AS kind, 'The Word' AS label, 0.9::DOUBLE AS confidence FROM ({words}) WHERE regexp_matches(substr(t, e + 1, 1), '[a-z]') AND NOT regexp_matches(CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END, '[\\p{{L}}\\p{{N}}_]')",
+        "model_matches": f"SELECT k.conv_id AS conv_id, k.turn AS turn, s::BIGINT AS start, e::BIGINT AS \"end\", kind, label, confidence FROM ({oracle.islands(named)})",
+        "file_scan": "SELECT * FROM (VALUES ('.env', 1::BIGINT, NULL), ('blob.bin', 0::BIGINT, 'binary'), ('plain.txt', 0::BIGINT, NULL)) AS x(name, findings, skipped)",
         "preview_lines": f"SELECT k AS doc_id, position, line, label, shown FROM ({oracle.preview(resolved, report.PREVIEW_WIDTH, report.LABEL_WIDTH)})",
         "entropy_scores": "SELECT event_id, round(-sum(n / 32 * log2(n / 32)), 9) AS entropy FROM (SELECT event_id, c, count(*)::DOUBLE AS n FROM (SELECT event_id, unnest(string_split(md5(event_id::VARCHAR), '')) AS c FROM events) GROUP BY event_id, c) GROUP BY event_id",
         "luhn_flags": f"SELECT k AS doc_id, s AS start, {oracle._luhn('v')} AS valid FROM ({cards})",

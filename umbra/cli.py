@@ -14,13 +14,21 @@ from pyspark.sql import functions as F
 
 from umbra.config import Config
 from umbra.operators import report
-from umbra.operators.python_rules import unified_diff
+from umbra.operators.python_rules import unified_diffs
 from umbra.plans.sanitize import Sanitizer
 from umbra.session import ship
 from umbra.sources.files import as_read_text, read_files, read_text, staged_files, write_back
 
+# The sentences that the commands print are an interface: their words are fixed values.
 COMMANDS = ("sanitize", "scan", "check", "install-hook", "clipboard", "ui")
-HOOK = "#!/bin/sh\n# Stops a commit of staged files with secrets in them.\nexec {python} -m umbra check\n"
+HOOK = """#!/bin/sh
+# Stops a commit of staged files with secrets in them.
+if ! {python} -m umbra check; then
+    echo "umbra: the commit was stopped: staged files hold what look like secrets (listed above)." >&2
+    echo "umbra: take them out, list them under [allowlist] in umbra.toml, or commit with --no-verify." >&2
+    exit 1
+fi
+"""
 #: (read, write) commands of a desktop's clipboard, tried in this order.
 CLIPBOARDS = (
     (["wl-paste", "--no-newline"], ["wl-copy"]), (["xclip", "-selection", "clipboard", "-o"], ["xclip", "-selection", "clipboard"]),
@@ -56,7 +64,7 @@ def sanitize(spark: SparkSession, options: argparse.Namespace) -> int:
         _say(f"umbra: cannot read the input: {why}")
         return 2
     done = _sanitized(spark, text, Config.load(options.config), options.input or "stdin").persist()
-    shown = done.select(unified_diff("text", "sanitized", "name")) if options.diff else done.select("sanitized")
+    shown = unified_diffs(done, "name").select("diff") if options.diff else done.select("sanitized")
     sys.stdout.write(shown.first()[0])
     if options.preview:
         lines = [r["shown"] for r in report.preview(done, "name").orderBy("position").collect()]
@@ -79,7 +87,7 @@ def scan(spark: SparkSession, options: argparse.Namespace) -> int:
     sanitizer = Sanitizer.from_config(Config.load(options.config))
     rows = report.scan_report(sanitizer.scan(files), "path").orderBy("path").collect()  # one line each is printed
     if options.write and rows:
-        dirty = files.join(spark.createDataFrame([(r["path"],) for r in rows], "path string").distinct(), "path", "left_semi")
+        dirty = sanitizer.scan(files, out="found").filter(F.size("found") > 0).drop("found")
         write_back(sanitizer.sanitize(dirty.withColumn("text", as_read_text(F.col("text")))))
     for r in rows:
         print(f"fixed  {r['path']}  ({r['findings']}: {r['labels']})" if options.write else f"{r['path']}: {r['findings']} finding(s) — {r['labels']}")

@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def spans(text: Column, pattern: str) -> Column:
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with the column ``name``, computed once for each row whatever later filters and columns ask for it.
+
+    Catalyst moves filters below a projection and copies the projection's expressions into
+    them; it moves none below a generator.
+    """
+    generated = F.explode(F.array(column)).alias(name)
+    kept = [generated if c == name else F.col(f"`{c}`") for c in df.columns]
+    return df.select(*kept) if name in df.columns else df.select(*kept, generated)
+
+
+def quoted(text: Column) -> Column:
+    """A Java regex that matches ``text`` letter for letter."""
+    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def spans(text: Column, pattern: str | Column) -> Column:
     """All matches of a Java regex in ``text`` as array of struct(start, end, value).
 
     Offsets count code points, ``end`` is exclusive. The pattern must not match the empty
     string. ``split`` gives what lies between the matches and ``regexp_extract_all`` the
     matches; one fold over both adds up the lengths.
     """
-    rx = F.lit(pattern)
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, rx, F.lit(0)).alias("hit"))
+    rx = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pairs = F.arrays_zip(F.split(text, rx, -1).alias("gap"), F.regexp_extract_all(text, rx, F.lit(0)).alias("hit"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:

@@ -24,7 +24,6 @@ def match(start: Column, end: Column, ord_: int, name: str, label: Column, value
 
 def detect_one(text: Column, spec: DetectorSpec, ord_: int) -> Column:
     """Matches of one detector; its gate keeps the regex away from most texts."""
-    rx = F.lit(spec.java)
 
     def secret(span: Column) -> Column:
         if not spec.secret:
@@ -37,7 +36,6 @@ def detect_one(text: Column, spec: DetectorSpec, ord_: int) -> Column:
         label = assignment_label(F.regexp_extract(s["whole"], spec.java, 2)) if spec.check == "assignment" else F.lit(spec.label)
         return match(s["start"], s["end"], ord_, spec.name, label, s["value"], spec.confidence)
 
-    del rx
     found = F.transform(spans(text, spec.java), secret)
     if spec.check:
         found = F.filter(found, lambda s: CHECKS[spec.check](s["value"]))

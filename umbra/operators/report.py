@@ -14,13 +14,13 @@ PREVIEW_WIDTH, LABEL_WIDTH = 72, 28
 
 def findings(df: DataFrame, *keys: str, matches: str = "matches") -> DataFrame:
     """A row for each match, without its value."""
-    m = F.explode(matches).alias("m")
-    return df.select(*keys, m).select(*keys, "m.start", "m.end", "m.kind", "m.label", "m.confidence", "m.detector")
+    m = F.explode_outer(matches).alias("m")  # explode() would have Catalyst compute the matches once more to drop empty arrays early
+    return df.select(*keys, m).filter("m IS NOT NULL").select(*keys, "m.start", "m.end", "m.kind", "m.label", "m.confidence", "m.detector")
 
 
 def summary(df: DataFrame, *keys: str, matches: str = "matches") -> DataFrame:
     """Matches by label (and ``keys``), sorted."""
-    return df.select(*keys, F.explode(F.col(matches)["label"]).alias("label")).groupBy(*keys, "label").agg(F.count("*").alias("n")).orderBy(*keys, "label")
+    return df.select(*keys, F.explode_outer(F.col(matches)["label"]).alias("label")).filter("label IS NOT NULL").groupBy(*keys, "label").agg(F.count("*").alias("n")).orderBy(*keys, "label")
 
 
 def summary_text(counts: list[tuple[str, int]]) -> str:

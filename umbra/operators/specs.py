@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions.text import entropy, luhn
@@ -122,6 +122,12 @@ def active_specs(enabled: Iterable[str] = (), disabled: Iterable[str] = (), reda
     return [s for s in SPECS if s.name not in off and (s.default_on or s.name in on)]
 
 
+def listing(spark: SparkSession) -> DataFrame:
+    """The registry as rows: ``place``, ``name``, ``label`` (null where it depends on the match), ``confidence``, ``category``, ``default_on``."""
+    rows = [(i, s.name, s.label or None, s.confidence, s.category, s.default_on) for i, s in enumerate(SPECS)]
+    return spark.createDataFrame(rows, "place long, name string, label string, confidence double, category string, default_on boolean")
+
+
 def assignment_label(key: Column) -> Column:
     """The label for the value of a variable of this name."""
     low, out = F.lower(key), F.lit("Secret")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from umbra.operators.specs import BY_NAME, KEYWORD_LABELS, MIN_ENTROPY, MIN_ENTROPY_LENGTH, DetectorSpec
+from umbra.operators.specs import KEYWORD_LABELS, MIN_ENTROPY, MIN_ENTROPY_LENGTH, DetectorSpec
 
 
 def quote(text: str) -> str:
@@ -108,5 +108,12 @@ def preview(resolved: str, width: int, most: int) -> str:
                     FROM (SELECT *, substr(t, 1, s) AS b FROM ({resolved}))))))"""
 
 
-def spec(name: str) -> DetectorSpec:
-    return BY_NAME[name]
+
+def audit(source: str, key: str, resolved: str, salt: str) -> str:
+    """Rows (k, audit): the pretty-printed JSON document of each row of ``source``."""
+    fields = [("kind", "kind", True), ("label", "label", True), ("detector", "kind", True), ("start", "s", False), ("end", "e", False), ("length", "e - s", False), ("fingerprint", f"substr(sha256({quote(salt)} || v), 1, 12)", True)]
+    quoted = ["'    \"" + name + "\" : " + ("\"' || " + value + " || '\"'" if text else "' || (" + value + ")") for name, value, text in fields]
+    record = "'{' || chr(10) || " + " || ',' || chr(10) || ".join(quoted) + " || chr(10) || '  }'"
+    return f"""SELECT x.k, '{{' || chr(10) || '  "version" : 1,' || chr(10) || '  "salt" : "{salt}",' || chr(10) || '  "redaction_count" : ' || coalesce(y.n, 0) || ',' || chr(10)
+          || '  "records" : [ ' || coalesce(y.body || ' ', '') || ']' || chr(10) || '}}' AS audit
+        FROM (SELECT {key} AS k FROM {source}) AS x LEFT JOIN (SELECT k, count(*) AS n, string_agg({record}, ', ' ORDER BY s) AS body FROM ({resolved}) GROUP BY k) AS y USING (k)"""
