@@ -29,8 +29,8 @@ def brute(rows):
                 parent[root(i)] = root(j)
     least = {}
     for i, (id_, _) in enumerate(rows):
-        least[root(i)] = min(least.get(root(i), id_), id_)
-    return sorted((id_, len(sets[i]), least[root(i)]) for i, (id_, _) in enumerate(rows))
+        least[root(i)] = min((x for x in (least.get(root(i)), id_) if x is not None), default=None)
+    return sorted(((id_, len(sets[i]), least[root(i)]) for i, (id_, _) in enumerate(rows)), key=str)
 
 
 def corpus(seed: int, n: int = 260):
@@ -59,9 +59,9 @@ def corpus(seed: int, n: int = 260):
     return rows
 
 
-def clustered(spark, rows):
+def clustered(spark, rows, **more):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngrams.cluster(df).collect())
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngrams.cluster(df, **more).collect()), key=str)
 
 
 def test_against_all_pairs(spark):
@@ -86,6 +86,40 @@ def test_chain_of_edits(spark):
     assert clustered(spark, rows) == brute(rows)
 
 
+def test_null_and_repeated_ids(spark):
+    """Chains through null ids; a third of the ids null; ids that stand for several texts; rows that repeat as they are."""
+    rng = random.Random(9)
+    rows = [(None if rng.random() < 0.35 else rng.randint(1, 60), t) for _, t in corpus(5, 180)]
+    rows += [(None, rows[0][1])] * 5 + [rows[3]] * 4
+    assert clustered(spark, rows) == brute(rows)
+    words = [f"v{i}" for i in range(120)]
+    chain = []
+    for i, id_ in enumerate((5, None, 9, None, None, 2)):
+        chain.append((id_, " ".join(words)))
+        words[i * 20 : i * 20 + 2] = [f"n{i}", f"m{i}"]
+    assert clustered(spark, chain) == brute(chain) and {c for _, _, c in brute(chain)} == {2}
+
+
+def test_names_that_clash(spark):
+    rows = corpus(6, 120)
+    assert clustered(spark, rows, name_bits=5) == brute(rows)
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, text), (7, text + " x"), (7, "another text altogether with words of its own"), (8, ""), (9, None), (9, None), (None, text + " y"), (3, "short"), (3, "short"), (None, "only here null"), (2, text), (None, "only here null")]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, __a int, __b int").repartition(3)
+    kept = sorted(map(str, (tuple(r) for r in ngrams.keep_one(df).collect())))
+    want = [(1, text), (7, rows[2][1]), (8, ""), (9, None), (3, "short"), (None, "only here null")]
+    assert kept == sorted(str((i, t, 1, 2)) for i, t in want)
+    rows = corpus(8, 150)
+    groups = {}
+    for (id_, n, c) in brute(rows):
+        groups.setdefault((c, None) if n else (c, id_), []).append(id_)
+    left = sorted(r.doc_id for r in ngrams.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == sorted(min(g) for g in groups.values())
+
+
 def test_case_and_white_space(spark):
     rows = [(1, "One two\tTHREE four five six"), (2, "one  two three\nfour FIVE six"), (3, "É t"), (4, "é t"), (5, "a\xa0b"), (6, "a b")]
     assert clustered(spark, rows) == brute(rows)

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from umbra.llm import quality, registry, secrets
@@ -52,20 +53,65 @@ def test_guess_costs():
     assert cost("a" * 5000) > 0
 
 
-def brute_cost(value):
-    """The same segmentation by trying every span."""
+def brute_cost(value, words_path=None):
+    """The cheapest segmentation, from the definitions: every span is tried, and every way to read it."""
     import functools
 
+    costs = secrets.word_costs(words_path)
+
+    def char(c):
+        return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
+
+    def is_date(s):
+        full = re.fullmatch(r"((?:19|20)\d\d)([-/._]?)(\d\d)\2(\d\d)", s)
+        if full and 1 <= int(full[3]) <= 12 and 1 <= int(full[4]) <= 31:
+            return True
+        other = re.fullmatch(r"(\d\d)([-/._]?)(\d\d)\2((?:19|20)?\d\d)", s)
+        return bool(other and 1 <= int(other[1]) <= 31 and 1 <= int(other[3]) <= 12)
+
+    def ways(s):
+        if len(s) == 1:
+            yield char(s)
+        low = s.lower()
+        for word in (low, "".join(secrets.LEET.get(c, c) for c in low)):
+            if word in costs:
+                yield costs[word] + (math.log10(2) if s != word else 0)
+        if len(s) >= 3 and all(any(a + b in row or a + b in row[::-1] for row in secrets.KEY_ROWS) for a, b in zip(low, low[1:])):
+            yield math.log10(47 * 2 * len(s))
+        for unit in range(1, len(s) // 2 + 1):
+            if len(s) >= 3 and len(s) % unit == 0 and s == s[:unit] * (len(s) // unit):
+                yield sum(map(char, s[:unit])) + math.log10(len(s) // unit)
+        if re.fullmatch(r"(?:19|20)\d\d", s):
+            yield math.log10(200)
+        if is_date(s):
+            yield math.log10(365 * 200)
+
     @functools.cache
     def best(i):
-        return 0.0 if i == len(value) else min(secrets.log10_guesses(value[i:j]) + best(j) for j in range(i + 1, len(value) + 1) if (i, j) != (0, len(value)))
+        if i == len(value):
+            return 0.0
+        return min((w + best(j) for j in range(i + 1, len(value) + 1) for w in ways(value[i:j])), default=math.inf)
 
     return best(0)
 
 
-def test_no_split_is_cheaper():
-    for value in ("passwordqwerty1999", "dragon12345x", "zq8monkey", "letmeinabc"):
-        assert secrets.log10_guesses(value) <= brute_cost(value) + 1e-9
+def test_costs_against_all_segmentations():
+    path = public_tokenizers.path(registry.WORDS)
+    rng = random.Random(3)
+    parts = ["password", "Dr4gon", "qwerty", "asdf", "1999", "20010203", "aaa", "xyxy", "7", "#", "Z", "k", "sunshine", "fr@nce", "schule", "654"]
+    for k in range(300):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) + "".join(rng.choice("ab1#") for _ in range(rng.randint(0, 5)))
+        for words in (None, path):
+            got, want = secrets.log10_guesses(value, words), brute_cost(value, words)
+            assert got >= want - 1e-9 and (abs(got - want) < 1e-9 or any(c.isdigit() for c in value)), (value, got, want)
+
+
+def test_word_ranks_tell_words_from_generated_values():
+    path = public_tokenizers.path(registry.WORDS)
+    human = ["butterfly7x", "dragonmonkey", "MeinHund2019", "bonjour123", "contrasena", "Summer2024!", "letmein99", "iloveparis", "welcomehome1", "schmetterling", "horsebattery", "parisfrance75", "password1234"]
+    made = ["x7Kq9Lm2vPzW", "kQzXvWmTrLpN", "G8#tq!Lr0pZv", "xkqwzvbnplrt", "9fK2mQx7Lp4Z", "qZ7xW2vK9mTb", "hGt5Rw8Yk3Nq", "zXcV9bNm1QwE7r"]
+    assert sum(secrets.log10_guesses(v, path) >= secrets.MIN_LOG10_GUESSES for v in human) <= 2
+    assert all(secrets.log10_guesses(v, path) >= secrets.MIN_LOG10_GUESSES for v in made)
 
 
 def test_added_spans_are_costly_and_new():
@@ -127,30 +173,63 @@ def test_statistics_of_odd_rows(odd, odd_rows, empty):
     assert quality.judge(empty).count() == quality.clean(empty).count() == 0
 
 
-def test_line_frequencies(spark):
-    line = "This Line is on every   page of the host and says nothing at all"
-    own = lambda i: " ".join(f"own{i}x{k}" for k in range(30))
-    rows = [(i, f"{own(i)}\n{line}", "h") for i in range(30)]
-    rows += [(100 + i, f"{line.lower()}\nfew{i} words{i} left{i} here{i} x{i} y{i} z{i} q{i}", "h") for i in range(5)]
-    rows += [(200 + i, f"{line}\nfew{i} words{i} left{i} here{i} x{i} y{i} z{i} q{i}", "other") for i in range(5)]
-    copies = [(300 + i, " ".join(f"copy{k}" for k in range(40)), "h") for i in range(60)]
-    df = spark.createDataFrame(rows + copies, "doc_id long, text string, source string")
-    got = {r.doc_id: r for r in quality.judge(df).collect()}
-    assert got[0].n_lost_words == 0 and got[1].n_lost_words == 14 and got[1].kept
-    assert not got[100].kept and got[100].n_words >= 20 and got[200].kept
-    assert all(got[300 + i].kept and got[300 + i].n_lost_words == 0 for i in range(60))
-    clean = {r.doc_id: r.text for r in quality.clean(df).collect()}
-    assert clean[0] == f"{own(0)}\n{line}" and clean[1] == own(1) and 100 not in clean and len(clean) == 30 + 5 + 60
-
-
-def test_lines_of_a_tenth_of_a_large_host(spark):
+def brute_kept(rows, limit=20):
+    """{row number: (lost words, kept, cleaned text)} from the definitions."""
+    normal = lambda x: re.sub(r"[\t-\r ]+", " ", x.strip(" \t\n\x0b\x0c\r")).lower()
+    held = Counter((h or "", n) for _, t, h in rows for n in {normal(x) for x in (t or "").split("\n")} if n)
+    out = {}
+    for i, (_, t, h) in enumerate(rows):
+        gone = [x for x in (t or "").split("\n") if normal(x) and held[h or "", normal(x)] > limit]
+        left = [x for x in (t or "").split("\n") if not normal(x) or held[h or "", normal(x)] <= limit]
+        stats = brute_stats(t or "")
+        lost = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in gone)
+        out[i] = (lost, not stats[5] and lost <= 0.5 * stats[0], "\n".join(left))
+    return out
+
+
+def hosts(seed=4, n=500):
+    """Rows with null, clashing and repeated ids, null hosts and texts, a hot host, copies of a whole text."""
+    rng = random.Random(seed)
+    common = ["This Line is on every   page", "and this one too says nothing", "a third line\twith a tab in it"]
+    copy = "\n".join(f"copied{k} " * 6 for k in range(6))
+    rows = []
+    for i in range(n):
+        lines = [" ".join(f"own{i}x{k}y{j}" for k in range(rng.randint(1, 12))) for j in range(rng.randint(0, 6))]
+        lines += [rng.choice([str, str.lower, str.upper])(x) for x in common if rng.random() < 0.25] + [""] * rng.randint(0, 2)
+        rng.shuffle(lines)
+        text = copy if rng.random() < 0.08 else None if rng.random() < 0.02 else "\n".join(lines)
+        rows.append((rng.choice([None, i, i % 7]), text, rng.choice(["hot", "hot", "a", "b", None])))
+    return rows
+
+
+def test_verdicts_against_the_definitions(spark):
+    rows = hosts()
+    want = brute_kept(rows)
+    df = spark.createDataFrame([(i, t, h, -1, [0]) for i, t, h in rows], "doc_id long, text string, source string, n_chars long, __mine array<int>").repartition(5)
+    for held in (1_000_000, 0):  # boilerplate lines in every worker, and joined
+        got = quality.judge(df, most_held=held).collect()
+        assert sorted((str(r.doc_id), r.n_lost_words, r.kept) for r in got) == sorted((str(rows[i][0]), lost, kept) for i, (lost, kept, _) in want.items())
+        clean = quality.clean(df, most_held=held)
+        assert clean.columns == df.columns
+        said = sorted((str(r.doc_id), r.text, r.n_chars) for r in clean.collect())
+        assert said == sorted((str(rows[i][0]), text, -1 if text == rows[i][1] else len(text)) for i, (_, kept, text) in want.items() if kept)
+
+
+def test_copies_are_documents(spark):
     line = "a line that stands on every tenth page of a large host"
     rows = [(i, " ".join(f"own{i}x{k}" for k in range(30)) + f"\n{line}" * (i % 10 == 0), "h") for i in range(400)]
+    rows += [(1000 + i, " ".join(f"copy{k}" for k in range(40)) + "\nits last line", "h") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    lost = {r.doc_id: r.n_lost_words for r in quality.judge(df).collect()}
-    assert {i for i, n in lost.items() if n} == set(range(10, 400, 10)) and lost[10] == len(line.split())
-    clean = {r.doc_id: r.text for r in quality.clean(df).collect()}
-    assert len(clean) == 400 and [i for i, t in clean.items() if line in t] == [0]
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert {i for i, r in got.items() if r.n_lost_words} == {*range(0, 400, 10), *range(1000, 1060)} and got[0].n_lost_words == len(line.split())
+    assert all(r.kept == (i < 1000) for i, r in got.items())
+    assert not any(line in r.text for r in quality.clean(df).collect())
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    good = " ".join(f"good{k}" for k in range(30))
+    df = spark.createDataFrame([(8, "short", "h"), (8, good, "h"), (None, "short", "h"), (None, good + " z", "h")], "doc_id long, text string, source string")
+    assert sorted((str(r.doc_id), r.text) for r in quality.clean(df).collect()) == [("8", good), ("None", good + " z")]
 
 
 def test_pipeline(spark, small):

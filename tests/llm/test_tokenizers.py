@@ -70,6 +70,8 @@ def test_queries_on_documents(spark, small):
 def test_odd_rows(odd, odd_rows, empty):
     tool, model = reference(), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     got = bpe.decode(bpe.encode(odd, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
+    both = bpe.encode(odd, RANKS, public_tokenizers.PATTERN, with_decoded=True).collect()
+    assert sorted(map(str, both)) == sorted(map(str, got))
     want = [(i, tool.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in odd_rows]
     assert sorted((str(r.doc_id), r.ids, bytes(r.decoded)) for r in got) == sorted((str(i), x, b) for i, x, b in want)
     counts = pieces.count_tokens(odd, MODEL, 10).collect()
@@ -79,7 +81,7 @@ def test_odd_rows(odd, odd_rows, empty):
 
 def test_cache_starts_anew():
     own = bpe.Encoder(bpe.encoder("ranks", RANKS, public_tokenizers.PATTERN).table)
-    own.cache.entries = 10
+    own.cache.most = 10
     for text in ("one two three four five six seven eight nine ten eleven", "one twelve"):
         assert own.encode(large([text]))[0].tolist() == reference().encode_ordinary(text)
 

@@ -293,19 +293,22 @@ def ids_array(encoded: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*encoded, np.zeros(0, "<u4")]).view("<i4")))
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "ranks") -> DataFrame:
-    """Tokenise every whole text: ``id_col``, ``ids`` array<int>.
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "ranks", with_decoded: bool = False) -> DataFrame:
+    """Tokenise every whole text: ``id_col``, ``ids`` array<int>, and if asked for ``decoded``, the bytes that :func:`decode` would give, in the same pass.
 
     A null or empty text has no ids. Repeated rows give repeated rows; other columns,
     whatever their names, are left out; an empty table gives an empty table.
     """
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType(fields + [T.StructField("decoded", T.BinaryType())] * with_decoded)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(kind, path, pattern)
         for batch in batches:
             for rows, texts in sub_batches(batch, 1):
-                yield pa.RecordBatch.from_arrays([rows.column(0), ids_array(tool.encode(texts))], [id_col, "ids"])
+                ids = tool.encode(texts)
+                raw = [pa.array([tool.table.decode(x) for x in ids], pa.binary())] if with_decoded else []
+                yield pa.RecordBatch.from_arrays([rows.column(0), ids_array(ids), *raw], schema.names)
 
     return df.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 

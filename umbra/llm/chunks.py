@@ -9,6 +9,7 @@ only the different ones.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at a time within an Arrow batch, and entries a cache may hold.
-SUB_BATCH_BYTES = 3_000_000
-CACHE_ENTRIES = 500_000
+#: Bytes of text handled at a time within an Arrow batch, and bytes that a cache may hold.
+SUB_BATCH_BYTES = 1_500_000
+CACHE_BYTES = 40_000_000
+#: What an entry takes besides its characters and its value: two objects' heads and a place in the table.
+_ENTRY_BYTES = 200
 #: Longer chunks are tokenised each time and never cached.
 CACHED_CHARS = 120
 
@@ -88,25 +91,44 @@ def chunked(texts: pa.Array, slowly: Callable[[str], list] = split_chunks, unsaf
 
 
 class ChunkCache:
-    """Values of chunks; holds about ``entries`` short ones, and starts anew beyond."""
+    """Values (bytes, or numbers) of short chunks, in about ``most`` bytes; starts anew beyond."""
 
-    def __init__(self, encode: Callable[[list], Iterable], entries: int = CACHE_ENTRIES):
-        self.encode, self.entries, self.known = encode, entries, {}
+    def __init__(self, encode: Callable[[list], Iterable], most: int = CACHE_BYTES):
+        self.encode, self.most, self.known, self.held = encode, most, {}, 0
 
     def values(self, keys: list) -> list:
         """The value of each key."""
+        if self.held > self.most:
+            self.known, self.held = {}, 0
         known = self.known
-        if len(known) > self.entries:
-            known.clear()
         missing = list(dict.fromkeys(k for k in keys if k not in known))
         known.update(zip(missing, self.encode(missing), strict=True))
         out = list(map(known.__getitem__, keys))
         for key in missing:
-            if len(key if isinstance(key, str) else key[0]) > CACHED_CHARS:
+            size = len(key if isinstance(key, str) else key[0])
+            if size > CACHED_CHARS:
                 del known[key]
+            else:
+                self.held += size + (len(known[key]) if isinstance(known[key], bytes) else 0) + _ENTRY_BYTES
         return out
 
 
+def _trimmer() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda pad: 0
+
+
+_trim = _trimmer()
+
+
+def give_back() -> None:
+    """Return to the system what Arrow's pool and the C library hold free; a worker lives on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def sub_batches(batch: pa.RecordBatch, column: int, most: int = SUB_BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of ``batch`` with their texts (null: empty), each of about ``most`` bytes."""
     texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
@@ -116,6 +138,7 @@ def sub_batches(batch: pa.RecordBatch, column: int, most: int = SUB_BATCH_BYTES)
         before = ends[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(begin, end - begin), texts.slice(begin, end - begin)
+        give_back()
         begin = end
 
 

@@ -14,7 +14,9 @@ lower bound of the symmetric difference.
 * Bits: each shingle flips one bit; pairs whose bit sketches differ in more than D bits need
   no verification.
 
-Equal sets are one node. In a group of nodes with an equal word only the pairs with its hub,
+Equal sets are one node, named by a 64-bit hash; a second hash shows the names that different
+sets share (some at 10^10 sets), and those get other names. A set's text is fetched by the
+128-bit hash of a document's id and text, so null and repeated ids are like any others. In a group of nodes with an equal word only the pairs with its hub,
 the node that shares words with the most others, are candidates at first. In groups that then
 still hold several components, the bit sketches of different components are compared in
 blocks: each node is verified against the nearest, and in a last round every pair is that
@@ -29,19 +31,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import sub_batches
 from .components import components
 from .quality import line_hashes, mix, words_of
-from .shared import cut, join_small, release
+from .shared import cut, fresh, join_small
 
 WORDS, PERCENT = 5, 80
 BAND = 1.5
 #: Members of a block in which sketches are compared, and pairs that one task verifies against a document.
 BLOCK, SALT = 512, 500
 SUB_BATCH = 1_500_000
+#: Seed of the second hash of a set.
+_CHECK = 0x2545F491
 #: Names of sets that a task remembers, so as not to emit copies' words again.
 _SEEN = 200_000
 
@@ -71,9 +75,9 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return hashes[new], np.bincount(own[new], minlength=len(sizes)).astype(np.int64)
 
 
-def set_names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def set_names(hashes: np.ndarray, sizes: np.ndarray, seed: int = 0x51ED270B) -> np.ndarray:
     """A 64-bit name of each set (0 for the empty set)."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(0x51ED270B)))])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(seed)))])
     ends = np.cumsum(sizes)
     with np.errstate(over="ignore"):
         names = mix(total[ends] - total[ends - sizes])
@@ -81,6 +85,13 @@ def set_names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return names.view(np.int64)
 
 
+def told_apart(names: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, clashing: frozenset[int]) -> np.ndarray:
+    """``names``, but those in ``clashing``, which different sets share, with the second hash mixed in."""
+    if clashing and (which := np.isin(names, np.fromiter(clashing, np.int64))).any():
+        names = np.where(which, mix(names.view(np.uint64) ^ set_names(hashes, sizes, _CHECK).view(np.uint64)).view(np.int64), names)
+    return names
+
+
 def most_different(small: np.ndarray, large: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The largest symmetric difference that linked sets of these sizes can have."""
     return (100 - percent) * (small + large) // (100 + percent)
@@ -269,9 +280,9 @@ def _verified(words: int, percent: int):
             out = []
             for rows, texts in sub_batches(batch, 4, SUB_BATCH):
                 hashes, sizes = shingles(texts, words)
-                names, ends = set_names(hashes, sizes), np.cumsum(sizes)
+                ends = np.cumsum(sizes)
                 stars, kinds, nodes = (rows.column(i).to_numpy() for i in (0, 2, 3))
-                for i in np.flatnonzero(names == nodes):  # rows of the same id may have other texts
+                for i in range(len(sizes)):
                     own = hashes[ends[i] - sizes[i] : ends[i]]
                     if kinds[i] == 0:
                         star, against = stars[i], own
@@ -286,40 +297,59 @@ def _verified(words: int, percent: int):
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The ``pairs`` (node, star) whose sets link, as edges (a, b). ``nodes``: (node, root), the id of a document with that set."""
+    """The ``pairs`` (node, star) whose sets link, as edges (a, b).
+
+    ``nodes``: (node, __a, __b, copies), the key of a document with that set and how many rows
+    have that key. ``docs``: (__a, __b, __text).
+    """
     many = pairs.groupBy("star").agg(F.ceil(F.count("*") / SALT).alias("salts"))
     salted = pairs.join(many, "star").withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
     stars = many.select("star", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("star").alias("node"))
     wanted = stars.unionByName(salted.select("star", "salt", F.lit(1).alias("kind"), "node"))
-    wanted = cut(wanted.join(nodes.select("node", F.col("root").alias("__id")), "node").select("__id", "star", "salt", "kind", "node"))
-    rows = join_small(docs.select("__id", "__text"), wanted, ["__id"], "inner").select("star", "salt", "kind", "node", "__text")
+    wanted = cut(wanted.join(nodes.select("node", "__a", "__b", "copies"), "node").select("__a", "__b", "star", "salt", "kind", "node", "copies"))
+    place = ["star", "salt", "kind", "node"]
+
+    def fetch(some: DataFrame) -> DataFrame:
+        return join_small(docs, some.drop("copies"), ["__a", "__b"], "inner").select(*place, "__text")
+
+    rows, repeated = fetch(wanted.filter("copies = 1")), wanted.filter("copies > 1")
+    if not repeated.isEmpty():  # rows that stand in the table again as they are: one of them is enough
+        rows = rows.unionByName(fetch(repeated).groupBy(*place).agg(F.first("__text").alias("__text")))
     dealt = rows.repartition("star", "salt").sortWithinPartitions("star", "salt", "kind")
     return dealt.mapInArrow(_verified(words, percent), "node long, star long").distinct().select(F.col("node").alias("a"), F.col("star").alias("b"))
 
 
-def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id``, the least id that links (of similarity ``percent`` or more) reach.
+def _row_key(id_: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that tell rows of different ids or texts apart."""
+    return F.xxhash64(id_, text), F.xxhash64(F.lit(1), text, id_)
 
-    Empty and null texts have no shingles and are linked with nothing, their component is their
-    own id. Rows with the same id and different texts are documents of their own; a null id is
-    never a component's name unless all of the component's are null, and rows whose set only
-    occurs with null ids link with equal sets only. Other columns are left out; an empty table
-    gives an empty table.
-    """
-    docs = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
 
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, texts in sub_batches(batch, 1, SUB_BATCH):
-                hashes, sizes = shingles(texts, words)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), pa.array(set_names(hashes, sizes)), pa.array(bit_sketches(hashes, sizes), pa.binary())], ["id", "n", "node", "sketch"])
+def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, name_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``known``: (id, __a, __b, n, node, ...), a row for each row; ``nodes``: (node, root, least, ...), one for each set; ``parts``: (node, component) of those with links."""
+    id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    a, b = _row_key(id_, text)
+    docs = df.select(id_.alias("__id"), a.alias("__a"), b.alias("__b"), text.alias("__text"))
+    mask = np.uint64(2**name_bits - 1)
+
+    def named(hashes: np.ndarray, sizes: np.ndarray, clashing: frozenset[int]) -> np.ndarray:
+        return told_apart((set_names(hashes, sizes).view(np.uint64) & mask).view(np.int64), hashes, sizes, clashing)
+
+    def measure(clashing: frozenset[int]):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, texts in sub_batches(batch, 3, SUB_BATCH):
+                    hashes, sizes = shingles(texts, words)
+                    columns = [pa.array(sizes), pa.array(named(hashes, sizes, clashing)), pa.array(set_names(hashes, sizes, _CHECK)), pa.array(bit_sketches(hashes, sizes), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:3], *columns], ["id", "__a", "__b", "n", "node", "check", "sketch"])
+
+        return run
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies next to each other need no rows of their own
         for batch in batches:
             for _, texts in sub_batches(batch, 0, SUB_BATCH):
                 hashes, sizes = shingles(texts, words)
-                names = set_names(hashes, sizes)
+                names = named(hashes, sizes, clashing)
                 _, first = np.unique(names, return_index=True)
                 new = np.zeros(len(names), bool)
                 new[[i for i in first if int(names[i]) not in seen]] = True
@@ -329,19 +359,27 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
                 for keys, nodes in signatures(hashes[np.repeat(new, sizes)], sizes[new], names[new], percent):
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], ["key", "node"])
 
-    known = cut(docs.mapInArrow(measure, "id long, n long, node long, sketch binary"))
-    nodes = cut(known.filter("n > 0").groupBy("node").agg(F.min("id").alias("root"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    clashing: frozenset[int] = frozenset()
+    while True:
+        known = cut(docs.mapInArrow(measure(clashing), "id long, __a long, __b long, n long, node long, check long, sketch binary"))
+        root = F.struct(F.col("id").isNull().alias("none"), "id", "__a", "__b")
+        nodes = known.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min(root).alias("root"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("check").alias("c"), F.max("check").alias("d"))
+        nodes = cut(nodes)
+        clash = [r["node"] for r in nodes.filter("c <> d").select("node").collect()]  # for N sets about N * N / 2 ** 65 of them
+        if not clash:
+            break
+        clashing |= frozenset(clash)
+    again = known.groupBy("__a", "__b").agg(F.count("*").alias("copies")).filter("copies > 1")
+    rooted = nodes.select("node", "root.__a", "root.__b")
+    rooted = cut(rooted.join(again, ["__a", "__b"], "left").select("node", "__a", "__b", F.coalesce("copies", F.lit(1)).alias("copies")))
     signed = docs.select("__text").mapInArrow(sign, "key long, node long")
     groups = cut(signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_groups, "key long, node long"))
-    del signed
-    release(df)
-    sized = nodes.select("node", "n", "sketch")
+    sized, texts = nodes.select("node", "n", "sketch"), docs.select("__a", "__b", "__text")
 
-    def linked(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """Components of ``edges`` and of the components known before, which are stars already."""
-        out = cut(components(edges if known is None else edges.union(known.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-        release(df)
-        return out
+    def linked(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Components by those of ``pairs`` that link, and by the components known before, which are stars already."""
+        edges = cut(verify(pairs, rooted, texts, words, percent))
+        return cut(components(edges if known is None else edges.union(known.select(F.col("node").alias("a"), F.col("component").alias("b")))))
 
     # what others were copied from shares words with the most others: it is the hub of its groups
     weights = groups.join(groups.groupBy("key").agg(F.count("*").alias("m")), "key").groupBy("node").agg(F.sum("m").alias("w"))
@@ -358,13 +396,14 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
     first = both.select("node", "star", "n", "m", "sketch", "other").mapInArrow(sift, "node long, star long")
     tested = cut(first.select(F.least("node", "star").alias("node"), F.greatest("node", "star").alias("star")).distinct())
-    parts = linked(cut(verify(tested, nodes, docs, words, percent)))
+    parts = linked(tested)
 
     def across(keys: DataFrame, nearest: bool) -> DataFrame:
         """Pairs of different components in the groups ``keys``."""
         placed = cut(keys.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
         mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("c <> d").select("key", "blocks")
-        spread = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        own = join_small(placed, cut(mixed), ["key"], "inner").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        spread = own.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         spread = spread.join(sized, "node").select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "component", "n", "sketch")
         return cut(spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_across(percent, nearest), "key long, node long, star long, gap double").distinct())
 
@@ -374,14 +413,47 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         near = ends.groupBy("node").agg(F.min_by("star", F.struct("gap", "star")).alias("star"))
         near = near.select(F.least("node", "star").alias("node"), F.greatest("node", "star").alias("star")).distinct()
         near = cut(near.join(tested, ["node", "star"], "left_anti"))
-        parts, tested = linked(cut(verify(near, nodes, docs, words, percent)), parts), tested.union(near)
+        parts, tested = linked(near, parts), tested.union(near)
         rest = across(groups.join(found.select("key").distinct(), "key", "left_semi"), False)
         rest = cut(rest.select("node", "star").distinct().join(tested, ["node", "star"], "left_anti"))
         if not rest.isEmpty():
-            parts = linked(cut(verify(rest, nodes, docs, words, percent)), parts)
+            parts = linked(rest, parts)
+    return known, nodes, parts
+
 
-    named = parts.join(nodes.select("node", "root"), "node").groupBy("component").agg(F.min("root").alias("least"))
-    least = parts.join(named, "component").select("node", "least")
-    names = nodes.select("node", "root").join(least, "node", "left").select("node", F.coalesce("least", "root").alias("least"))
+def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, name_bits: int = 64) -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id``, the least id that links (of similarity ``percent`` or more) reach.
+
+    Empty and null texts have no shingles and are linked with nothing, their component is their
+    own id. Rows with the same id and different texts are documents of their own; rows with a
+    null id link like any others, but a null is a component's name only if all its ids are null.
+    Other columns are left out; an empty table gives an empty table.
+    """
+    known, nodes, parts = _classes(df, id_col, text_col, words, percent, name_bits)
+    named = parts.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("all"))
+    in_parts = parts.join(named, "component").select("node", "all")
+    names = nodes.select("node", "least").join(in_parts, "node", "left").select("node", F.coalesce("all", "least").alias("name"))
     answer = known.select("id", "n", "node").join(names, "node", "left")
-    return answer.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return answer.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df``, but of those that links join only one of the least id (null ids last), all columns.
+
+    Rows are told apart by id and text together; of rows with both alike one stays. Texts without shingles stay.
+    """
+    known, nodes, parts = _classes(df, id_col, text_col, words, percent, 64)
+    rooted = nodes.select("node", "root").join(parts, "node", "left").select("node", "root", F.coalesce("component", "node").alias("component"))
+    first = rooted.groupBy("component").agg(F.min("root").alias("stays"))
+    stays = cut(rooted.join(first, "component").select("node", "stays.__a", "stays.__b").withColumnsRenamed({"__a": "x", "__b": "y"}))
+    rows = known.filter("n > 0").select("node", "__a", "__b").join(stays, "node")
+    gone = cut(rows.filter("__a <> x OR __b <> y").select("__a", "__b").distinct())
+    again = cut(known.groupBy("__a", "__b").agg(F.count("*").alias("copies")).filter("copies > 1").select("__a", "__b").join(gone, ["__a", "__b"], "left_anti"))
+    inner = {c: fresh(df, c) for c in ("__a", "__b")}
+    a, b = _row_key(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    keyed, on = df.withColumns({inner["__a"]: a, inner["__b"]: b}), list(inner.values())
+    left = join_small(keyed, gone.withColumnsRenamed(inner), on, "left_anti")
+    again = again.withColumnsRenamed(inner)
+    if not again.isEmpty():
+        left = join_small(left, again, on, "left_anti").unionByName(join_small(left, again, on, "left_semi").dropDuplicates(on))
+    return left.drop(*on)

@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.sources.tables import read_table
+
 from . import ann, bpe, likelihood, ngrams, packing, pieces, quality, secrets, surrogates, urls
 
 #: (verdict, host/path)
@@ -17,8 +19,12 @@ TOKEN_LIMIT, SEQUENCE, QUERY_STEP = 4096, 2048, 100
 SURROGATE_KEY = "umbra"
 
 
+#: Word ranks for guess costs: a public vocabulary of many languages.
+WORDS = "byte_bpe_multi_50k.tiktoken"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +33,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    both = bpe.decode(encoded, path, public_tokenizers.PATTERN)
+    both = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -43,7 +48,7 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    found = secrets.scan(_table(spark, sf_dir, "documents"), words_path=public_tokenizers.path(WORDS))
     return found.select("doc_id", *secrets.digest(F.col("secrets")))
 
 

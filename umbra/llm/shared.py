@@ -2,42 +2,68 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a join's small side up to which it is broadcast; beyond, Spark shuffles both sides.
-BROADCAST_ROWS = 100_000
+from umbra.plans.sanitize import fresh
 
+__all__ = ["cut", "fresh", "join_small", "shared_folder", "small_enough"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read again from there.
+#: Bounds of a join's small side, in rows and in bytes of its values, up to which it is broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
+#: With this setting Spark deletes a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, set as the context's checkpoint folder.
 
-    Only where the session has no such folder (local tests) is a temporary one set.
+    Where neither is set, a session of this machine alone gets a temporary folder; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="umbra-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="umbra-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again from there; the shuffle files that it took are deleted."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under the setting
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
-def join_small(large: DataFrame, small: DataFrame, on: list[str], how: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``small``, broadcast only if a count of it (cheap: it has been cut) shows at most ``most`` rows."""
-    few = small.limit(most + 1).count() <= most
-    return large.join(F.broadcast(small) if few else small.hint("shuffle_hash") if how == "inner" else small, on, how)
+def _bytes(kind: T.DataType, value: Column) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.octet_length(value).cast("long")
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            return F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + F.coalesce(_bytes(kind.elementType, x), F.lit(0).cast("long")) + 16)
+        return F.size(value).cast("long") * 8
+    if isinstance(kind, T.StructType):
+        return sum((F.coalesce(_bytes(f.dataType, value[f.name]), F.lit(0).cast("long")) for f in kind.fields), F.lit(0).cast("long"))
+    return F.lit(8).cast("long")
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of finished queries now, rather than whenever the driver collects its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def small_enough(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table (cheap to read: it has been cut) is within both bounds."""
+    each = sum((F.coalesce(_bytes(f.dataType, F.col(f"`{f.name}`")), F.lit(0).cast("long")) + 8 for f in small.schema.fields), F.lit(0).cast("long"))
+    n, total = small.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, or a longer one, that no column of ``df`` has."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def join_small(large: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join with ``small``, which is broadcast only if it is :func:`small_enough`."""
+    return large.join(F.broadcast(small) if small_enough(small) else small.hint("shuffle_hash") if how == "inner" else small, on, how)
