@@ -2,21 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``. :func:`run` applies them to ``documents``, each result written as
-Parquet in the shared folder and read again.
+Parquet in the shared folder and read again; what a stage has read is then deleted.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from umbra.llm import ngrams, packing, quality, secrets
-from umbra.llm.registry import SEQUENCE
-from umbra.llm.shared import cut, fresh, join_small
+from umbra.llm.registry import SEQUENCE, WORDS
+from umbra.llm.shared import shared_folder
+from umbra.sources.tables import read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,22 +24,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates; one of those with equal ids and texts."""
-    clusters = ngrams.cluster(docs)
-    gone = cut(clusters.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct())
-    left = join_small(docs, gone, ["doc_id"], "left_anti")
-    copy = fresh(left, "__copy")
-    named = left.withColumn(copy, F.xxhash64("doc_id", "text"))
-    again = cut(named.groupBy(copy).agg(F.count("*").alias("n")).filter("n > 1").select(copy))
-    if again.isEmpty():
-        return left
-    single = join_small(named, again, [copy], "left_anti")
-    return single.unionByName(join_small(named, again, [copy], "left_semi").dropDuplicates([copy])).drop(copy)
+    """One document, of least id, of each group of near duplicates."""
+    return ngrams.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets masked."""
-    return secrets.mask(docs)
+    return secrets.mask(docs, words_path=public_tokenizers.path(WORDS))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +47,20 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the ``documents`` in ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="umbra-")
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder from whatever store it is in."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
