@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,15 +114,38 @@ def test_runs_train_like_windows():
     assert np.allclose(seen, also, rtol=1e-3, atol=1e-12) and seen.any()
 
 
+def texts_frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "__id long, __text string")
+
+
 def test_every_place_is_trained(spark):
-    """The class biases' step of the only batch is that of all places."""
+    """The class biases' step of the only batch is that of all places; over several rounds each place is still seen once."""
     texts = ["a b c d e f g h"] * 5 + ["", None, "i"] + ["z y x"] * 7
-    docs = spark.createDataFrame([(t,) for t in texts], "__text string").coalesce(1)
+    docs = texts_frame(spark, texts)
     words = likelihood.frequent_words(docs)
     ids, sizes = likelihood.Vocabulary(words).number(pa.array([t or "" for t in texts], pa.large_string()))
     net = likelihood.Network.start()
     net.train(likelihood.windows(ids, sizes, np.arange(len(ids))), ids, np.zeros_like(net.weights))
-    assert len(ids) == 62 and np.allclose(likelihood.fit(docs, words), net.weights, atol=1e-3)
+    assert len(ids) == 62 and np.allclose(likelihood.fit(likelihood.number(docs, words, 1, rounds=1), 1), net.weights, atol=1e-3)
+    dealt = likelihood.number(docs, words, 3).groupBy("__learner", "__round").agg(F.sum("__n").alias("n")).collect()
+    assert sum(r.n for r in dealt) == 62 and len({r["__round"] for r in dealt}) > 1 and len({r["__learner"] for r in dealt}) == 3
+
+
+def test_scores_do_not_depend_on_partitioning(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, other = ({r.doc_id: r.log_likelihood for r in likelihood.score(d).collect()} for d in (df.coalesce(1), df.repartition(7, "text")))
+    assert one.keys() == other.keys() and all(abs(one[i] - other[i]) <= 1e-6 * abs(one[i]) for i in one)
+
+
+def test_runs_score_like_windows():
+    rng = np.random.default_rng(7)
+    net = likelihood.Network(rng.standard_normal(len(likelihood.Network.start().weights)).astype(np.float32) * 3)
+    ids, sizes = rng.integers(0, 4096, 200), np.array([3, 0, 150, 1, 46])
+    run, at = likelihood.spaced(ids, sizes)
+    got = net.log_probs_run(np.concatenate([np.full(likelihood.WINDOW, net.size), run]), at + likelihood.WINDOW)
+    assert np.allclose(got, net.log_probs(likelihood.windows(ids, sizes, np.arange(200)), ids), rtol=1e-3, atol=1e-3)
 
 
 def test_log_probs_sum_to_one():
@@ -149,35 +174,51 @@ def test_learns_word_order(spark):
     assert right >= 95
 
 
+def brute_sum(weights, words, counts, text):
+    """The definition, place by place, in plain Python and double precision."""
+    net = likelihood.Network(weights.astype(np.float64))
+    place = {w: i for i, w in enumerate(words)}
+    bucket = {w: int(likelihood.bucket_ids(pa.array([w], pa.large_string()))[0]) for w in counts}
+    in_bucket = Counter()
+    for w, n in counts.items():
+        if w not in place:
+            in_bucket[bucket[w]] += n
+
+    def id_of(w):
+        return place[w] if w in place else int(likelihood.bucket_ids(pa.array([w], pa.large_string()))[0])
+
+    said = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    ids = [net.size] * 3 + [id_of(w) for w in said] + [net.size] * 3
+    total = 0.0
+    for k, w in enumerate(said):
+        around = ids[k : k + 3] + ids[k + 4 : k + 7]
+        hidden = np.tanh(net.bias + sum(net.embed[a] * net.place[j] for j, a in enumerate(around)))
+        class_, inner = divmod(ids[k + 3], likelihood.PER_CLASS)
+        for logits, at in ((hidden @ net.to_class + net.class_bias, class_), (hidden @ net.to_word[class_] + net.word_bias[class_], inner)):
+            total += logits[at] - math.log(sum(math.exp(x) for x in logits))
+        if w not in place:
+            total += math.log(max(1, counts.get(w, 1)) / (in_bucket[ids[k + 3]] + 1))
+    return total
+
+
 def test_sums_against_brute_force(spark):
-    docs = spark.createDataFrame([(1, "a b a c"), (2, "c"), (3, "")], "doc_id long, text string").coalesce(1)
-    words = likelihood.frequent_words(docs.select(F.col("text").alias("__text")))
-    assert words == ["a", "c", "b"]
-    net = likelihood.Network(likelihood.fit(docs.select(F.col("text").alias("__text")), words))
-    vocabulary, end = likelihood.Vocabulary(words), net.size
-    ids, _ = vocabulary.number(pa.array(["a b a c"], pa.large_string()))
-    padded = [end] * 3 + ids.tolist() + [end] * 3
-    want = sum(float(net.log_probs(np.array([padded[i : i + 3] + padded[i + 4 : i + 7]]), ids[i : i + 1])[0]) for i in range(4))
-    got = {r.doc_id: r for r in likelihood.score(docs).collect()}
-    assert abs(got[1].log_likelihood - want) < 1e-3 and got[1].n_words == 4
-    assert got[3].log_likelihood == 0 and got[3].per_word is None
-
-
-def test_rare_words_share_their_bucket(spark):
-    """Words beyond the network's have the bucket's probability by their own counts; one that the corpus lacks has one count more."""
+    """All words, held counts and joined counts; a vocabulary that does not hold all words."""
+    rng = random.Random(3)
     common = [f"c{i:04d}" for i in range(likelihood.CLASSES * likelihood.PER_CLASS - likelihood.BUCKETS)]
-    rare = {"xqing": 4, "yqing": 2, "zqing": 1}
-    corpus = " ".join(w for w in common for _ in range(5)) + " " + " ".join(w for w, n in rare.items() for _ in range(n))
-    train = spark.createDataFrame([(0, corpus)], "doc_id long, text string").coalesce(1)
-    held = spark.createDataFrame(list(enumerate([*rare, "wqing"] * 2)), "doc_id long, text string")
-    got = {r.doc_id: r.log_likelihood for r in likelihood.score(held, trained_on=train).collect()}
-    texts = train.select(F.col("text").alias("__text"))
-    words = likelihood.frequent_words(texts)
-    assert words == common
-    net, ends = likelihood.Network(likelihood.fit(texts, words)), np.full((1, 2 * likelihood.WINDOW), 4096)
-    bucket = float(net.log_probs(ends, likelihood.bucket_ids(["xqing"]))[0])
-    assert len(got) == 8 and all(abs(got[i] - got[i + 4]) < 1e-9 for i in range(4))
-    assert np.allclose([got[i] for i in range(4)], bucket + np.log(np.array([4, 2, 1, 1]) / 8), atol=1e-3)
+    rare = [f"r{rng.randrange(10**6)}ing" for _ in range(60)]
+    texts = [" ".join(common)] * 40 + [" ".join(rng.choice(rare) if rng.random() < 0.4 else rng.choice(common) for _ in range(25)) for i in range(60)] + ["", "neverseen"]
+    train = spark.createDataFrame(list(enumerate(texts[:-1])), "doc_id long, text string")
+    counts = Counter(w for t in texts[:-1] for w in t.split())
+    docs = train.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    words = likelihood.frequent_words(docs)
+    assert sorted(words) == sorted(common)
+    weights = likelihood.fit(likelihood.number(docs, words, 1))
+    held = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i > 39], "doc_id long, text string")
+    for most in (likelihood.HELD, 10):
+        got = {r.doc_id: r for r in likelihood.score(held, trained_on=train, held=most).collect()}
+        assert len(got) == len(texts) - 40 and got[len(texts) - 2].log_likelihood == 0 and got[len(texts) - 2].per_word is None
+        for i, r in got.items():
+            assert r.n_words == len(texts[i].split()) and abs(r.log_likelihood - brute_sum(weights, words, counts, texts[i])) < 1e-3 * max(1, r.n_words)
 
 
 def test_odd_scores(odd, odd_rows, empty):
