@@ -1,25 +1,25 @@
 """URL filters: fixed host and path rules, and association rules mined from what those label.
 
-The fixed rules label the urls that they fit. A level-wise search finds combinations of url
-tokens that come with a label often enough (``min_support``) and almost always
-(``min_confidence``); of those rules the most general stay. An inverted index from a rule's
-rarest token to the rule matches them against the urls that no fixed rule fits; the rule of
+The fixed rules label the urls that they fit. Spark's FP-growth finds the combinations of url
+tokens that come with a label often enough (``min_support``); those that almost always do
+(``min_confidence``) are rules, of which the most general stay. An inverted index from a rule's
+rarest part to the rule matches them against the urls that no fixed rule fits; the rule of
 most confidence (then support, then tokens in order) decides, and ``allow`` is the verdict
 where none fits.
 
-Urls are not cut. What the search holds is bounded by the support, however many urls there
-are: only frequent tokens are combined, and a combination grows no further where a more
-general one has the same urls or its verdict is certain, as the rule would not stay.
+Urls are not cut. Tokens that the same labelled urls hold are one item to FP-growth, so that
+the several names of a host or segment do not multiply the combinations; in a rule any of them
+will do. What is mined is bounded by the support, however many urls there are.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import combinations
 from math import ceil
 
 import pyarrow as pa
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +29,12 @@ from .shared import cut
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Mark of the items that are verdicts; tokens start with their kind.
+VERDICT = "="
+
 Rule = tuple[str, str]  # verdict, host/path
+#: Classes of tokens (one of each must be there), verdict, confidence, support.
+Mined = tuple[frozenset[frozenset[str]], str, float, float]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -85,80 +90,52 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.coalesce(F.filter(F.array_distinct(all_), lambda t: t.isNotNull()), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[frozenset[str], str, float, float]]:
-    """(tokens, verdict, confidence, support) of ``labelled`` (tokens, verdict); no rule has another of its verdict and no less confidence within it."""
-    baskets = cut(labelled.select("tokens", "verdict"))
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Mined]:
+    """Rules of ``labelled`` (tokens, verdict); no rule has another of its verdict and no less confidence within it.
+
+    A rule is a set of classes of tokens that the same urls hold; it fits where one token of each class is.
+    """
+    baskets = cut(labelled.select(F.monotonically_increasing_id().alias("row"), F.array_distinct("tokens").alias("tokens"), "verdict"))
     total = baskets.count()
-    least = max(1, ceil(min_support * total))
     if not total:
         return []
-
-    def frequent(counts: DataFrame) -> list[tuple[tuple[str, ...], int, dict[str, int]]]:
-        """Combinations, their urls, and those with each verdict; of ``items``, ``verdict``, ``n``."""
-        sums = counts.groupBy("items", "verdict").agg(F.sum("n").alias("n")).groupBy("items").agg(F.sum("n").alias("all"), F.collect_list(F.struct("verdict", "n")).alias("each"))
-        rows = sums.filter(F.exists("each", lambda e: e["n"] >= least)).collect()  # bounded by the support: see above
-        return [(tuple(r["items"]), r["all"], {e["verdict"]: e["n"] for e in r["each"] if e["n"] >= least}) for r in rows]
-
-    level = frequent(baskets.select(F.explode("tokens").alias("t"), "verdict").select(F.array("t").alias("items"), "verdict", F.lit(1).alias("n")))
-    known = F.array_sort(F.array_intersect("tokens", F.array(*(F.lit(t[0]) for t, _, _ in level)))) if level else F.array().cast("array<string>")
-    small = cut(baskets.groupBy(known.alias("tokens"), "verdict").agg(F.count("*").alias("n"))) if level else None
-    rows, size, often = [], 1, {(): total}
-    while level:
-        rows += [(frozenset(t), v, k / n, k / total) for t, n, each in level for v, k in each.items() if k >= min_confidence * n]
-        often |= {t: n for t, n, _ in level}
-        live: dict[str, set[tuple[str, ...]]] = defaultdict(set)
-        for t, n, each in level:
-            if all(often.get(s) != n for s in combinations(t, size - 1)):
-                for v, k in each.items():
-                    if k < n:
-                        live[v].add(t)
-        candidates = set()
-        for sets in live.values():
-            by_start: dict[tuple[str, ...], list[str]] = defaultdict(list)
-            for t in sets:
-                by_start[t[:-1]].append(t[-1])
-            joined = ((*start, *pair) for start, ends in by_start.items() for pair in combinations(sorted(ends), 2))
-            candidates |= {c for c in joined if all(s in sets for s in combinations(c, size))}
-        level, size = frequent(_count(small, candidates)) if candidates else [], size + 1
-    kept: list[tuple[frozenset[str], str, float, float]] = []
-    for rule in sorted(rows, key=lambda r: (len(r[0]), -r[2], sorted(r[0]))):
-        if not any(k[1] == rule[1] and k[0] < rule[0] and k[2] >= rule[2] for k in kept):
-            kept.append(rule)
+    each = baskets.select("row", F.explode("tokens").alias("t")).groupBy("t")
+    held = each.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(row))").alias("x"), F.expr("bit_xor(xxhash64(row, 1))").alias("y")).filter(F.col("n") >= ceil(min_support * total))
+    classes = {min(r["ts"]): frozenset(r["ts"]) for r in held.groupBy("n", "x", "y").agg(F.collect_list("t").alias("ts")).collect()}  # at most tokens of a url / support
+    if not classes:
+        return []
+    items = F.concat(F.array_intersect("tokens", F.array(*map(F.lit, classes))), F.array(F.concat(F.lit(VERDICT), F.col("verdict"))))
+    grown = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets.select(items.alias("items")))
+    said = lambda x: F.startswith(x, F.lit(VERDICT))
+    sets = cut(grown.freqItemsets.select(F.array_sort(F.filter("items", lambda x: ~said(x))).alias("set"), F.get(F.filter("items", said), 0).alias("verdict"), "freq"))
+    some = sets.filter(F.col("verdict").isNotNull() & (F.size("set") > 0))
+    whole = sets.filter(F.col("verdict").isNull()).select("set", F.col("freq").alias("all"))
+    rules = some.join(whole, "set").filter(F.col("freq") >= min_confidence * F.col("all"))
+    kept: list[Mined] = []
+    found = [(frozenset(r["set"]), r["verdict"].removeprefix(VERDICT), r["freq"] / r["all"], r["freq"] / total) for r in rules.collect()]
+    general: dict[str, list[tuple[frozenset[str], float]]] = defaultdict(list)
+    for names, verdict, confidence, support in sorted(found, key=lambda r: (len(r[0]), -r[2], sorted(r[0]))):
+        if not any(c >= confidence and other < names for other, c in general[verdict]):
+            general[verdict].append((names, confidence))
+            kept.append((frozenset(classes[n] for n in names), verdict, confidence, support))
     return kept
 
 
-def _count(baskets: DataFrame, candidates: set[tuple[str, ...]]) -> DataFrame:
-    """``items``, ``verdict`` and ``n`` of each candidate in each part of ``baskets`` (sorted tokens, verdict, n)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_first, found = defaultdict(list), Counter()
-        for c in candidates:
-            by_first[c[0]].append((c, frozenset(c)))
-        for batch in batches:
-            for have, verdict, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                whole = set(have)
-                for t in have:
-                    for c, parts_ in by_first.get(t, ()):
-                        if parts_ <= whole:
-                            found[c, verdict] += n
-        yield pa.RecordBatch.from_arrays([pa.array([list(c) for c, _ in found], pa.list_(pa.string())), pa.array([v for _, v in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["items", "verdict", "n"])
-
-    return baskets.mapInArrow(run, "items array<string>, verdict string, n long")
-
-
 class RuleIndex:
-    """Rules by their rarest token."""
+    """Rules by the tokens of their rarest class."""
 
-    def __init__(self, rules: list[tuple[frozenset[str], str, float, float]]):
-        often = Counter(t for r in rules for t in r[0])
+    def __init__(self, rules: list[Mined]):
+        often = Counter(c for r in rules for c in r[0])
         self.by_token: dict[str, list] = defaultdict(list)
-        for rule in sorted(rules, key=lambda r: (-r[2], -r[3], sorted(r[0]))):
-            self.by_token[min(rule[0], key=lambda t: (often[t], t))].append(rule)
+        for rule in rules:
+            for token in min(rule[0], key=lambda c: (often[c], min(c))):
+                self.by_token[token].append(rule)
 
-    def match(self, found: Iterable[str]) -> tuple[frozenset[str], str, float, float] | None:
-        have = set(found)
-        fit = [r for t in have for r in self.by_token.get(t, ()) if r[0] <= have]
-        return min(fit, key=lambda r: (-r[2], -r[3], sorted(r[0]))) if fit else None
+    def match(self, found: Iterable[str]) -> tuple[Mined, tuple[str, ...]] | None:
+        """The rule that decides for a url's tokens, and those of them that it rests on."""
+        have = frozenset(found)
+        fit = [(r, tuple(sorted(min(c & have) for c in r[0]))) for t in have for r in self.by_token.get(t, ()) if all(c & have for c in r[0])]
+        return min(fit, key=lambda f: (-f[0][2], -f[0][3], f[1])) if fit else None
 
 
 def judge(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, default: str = "allow") -> DataFrame:
@@ -188,7 +165,7 @@ def judge(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col
                             known.clear()
                         known[key] = index.match(key)
                     if fit := known[key]:
-                        said[i], why[i] = fit[1], " ".join(sorted(fit[0]))
+                        said[i], why[i] = fit[0][1], " ".join(fit[1])
                     else:
                         said[i] = default
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(said, pa.string()), pa.array(why, pa.string())], schema.names)
