@@ -8,6 +8,8 @@ Parquet in the shared folder and read again; what a stage has read is then delet
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -15,24 +17,36 @@ from pyspark.sql import DataFrame, SparkSession
 from umbra.llm import ngrams, packing, quality, secrets
 from umbra.llm.registry import SEQUENCE, WORDS
 from umbra.llm.shared import shared_folder
+from umbra.session import bounded
 from umbra.sources.tables import read_table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def _bounded(stage: Stage) -> Stage:
+    """The stage in a session whose Arrow batches are bounded in bytes."""
+    return wraps(stage)(lambda spark, docs, sf_dir: stage(bounded(spark), docs, sf_dir))
+
+
+@_bounded
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their boilerplate lines."""
     return quality.clean(docs)
 
 
+@_bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of least id, of each group of near duplicates."""
     return ngrams.keep_one(docs)
 
 
+@_bounded
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets masked."""
     return secrets.mask(docs, words_path=public_tokenizers.path(WORDS))
 
 
+@_bounded
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences."""
     tokenized = packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, SEQUENCE)
