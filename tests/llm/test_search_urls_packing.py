@@ -30,6 +30,37 @@ def test_recall_on_embeddings(spark, small):
     assert sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want) >= 0.9 * 10 * len(want)
 
 
+def test_recall_on_twenty_thousand(spark):
+    """The table's vectors with noise, ten of each, as many as make several buckets."""
+    rng = np.random.default_rng(6)
+    base = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], np.float32)
+    scale = np.linalg.norm(base, axis=1).mean() / np.sqrt(base.shape[1])
+    points = np.concatenate([base + rng.standard_normal(base.shape).astype(np.float32) * scale * 0.3 for _ in range(10)])
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(points)]).repartition(4)
+    got: dict[int, set] = {}
+    for r in ann.search(df, df.filter("vec_id % 100 = 0"), 10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(points), 100):
+        gap = points.astype(float) - points[q].astype(float)
+        distance = np.sqrt((gap * gap).sum(1))
+        distance[q] = np.inf
+        hits += len(got[q] & set(np.argsort(distance, kind="stable")[:10].tolist()))
+    assert len(points) == 20_000 and hits >= 0.9 * 10 * 200, hits
+
+
+def test_large_buckets_in_parts(spark, monkeypatch):
+    """Salts, blocks of queries, further probes and blocks against all rows give what one part gives."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((700, 4)).round(2))] + [(1000 + i, [50.0 + 9 * i, 0.0, 0.0, 1.0]) for i in range(30)]
+    df = vectors(spark, rows)
+    queries = df.filter("vec_id % 3 = 0")
+    whole = sorted(map(tuple, ann.search(df, queries, 5).collect()))
+    for name, value in (("SALT_ROWS", 60), ("HELD_QUERIES", 7), ("ALL_QUERIES", 4), ("ALL_BLOCKS", 2), ("ALL_ROWS", 100)):
+        monkeypatch.setattr(ann, name, value)
+    assert sorted(map(tuple, ann.search(df, queries, 5).collect())) == whole
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 

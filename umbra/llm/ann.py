@@ -5,7 +5,10 @@ Each of ``tables`` hash tables cuts ``k`` Gaussian projections of a vector into
 to hold a neighbour at the distance that a bounded sample shows, until the chances over
 all tables reach ``target``. Candidates never become rows: a partition holds the queries that
 probe one bucket while that bucket's vectors stream past, reranks by exact distance, and keeps
-each query's nearest. Queries left with too few candidates are compared with all rows, in blocks.
+each query's nearest. Buckets are counted first: one of many vectors is salted, and one of many
+queries is visited by blocks of them, so that no task holds or reads more than a bounded part.
+Queries left with too few candidates probe on, to a higher chance; those still left are compared
+with all rows, a bounded number of blocks of queries at a time.
 """
 
 from __future__ import annotations
@@ -20,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .quality import mix
+from .shared import cut, join_small
 
 #: Rows at most that the width, and the distance of a neighbour, are fitted on; and of them at most as many queries.
 SAMPLE, SAMPLE_QUERIES = 4000, 100
 TABLES, WIDTH, TARGET = 2, 1.6, 0.97
-BUCKET, SALT_ROWS = 1500, 50_000
+#: Vectors that a bucket is meant for; those that a task reads of one, and the queries that it holds of one, at most (on average).
+BUCKET, SALT_ROWS, HELD_QUERIES = 1500, 6000, 2000
+#: Of queries against all rows: queries in a block, blocks at a time, and rows that a task reads.
+ALL_QUERIES, ALL_BLOCKS, ALL_ROWS = 1000, 4, 50_000
 #: Rows of vectors compared at a time.
 BLOCK = 4096
 SEED = 11
@@ -70,7 +77,7 @@ def probe_sequence(position: np.ndarray, reach: float, enough: float) -> list[tu
 def _keys(dim: int, table: int, bins: np.ndarray) -> np.ndarray:
     """A 64-bit name for each row of bin numbers."""
     with np.errstate(over="ignore"):
-        key = np.full(len(bins), dim * 1000003 + table, np.uint64)
+        key = np.full(len(bins), mix(np.array([dim * 1000003 + table]))[0], np.uint64)  # mixed: tables' small bin numbers must not cancel
         for column in bins.astype(np.int64).T:
             key = (key ^ column.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
@@ -156,7 +163,9 @@ def _rerank(k: int):
 
 def _fit(rows: DataFrame, n: int, k: int) -> float:
     """The distance of a ``k``-th neighbour, from at most ``SAMPLE`` rows (an upper estimate: a sample is sparser)."""
-    sample = [np.array(r[0], float) for r in rows.select("__vec").sample(min(1.0, 1.2 * SAMPLE / n), SEED).limit(SAMPLE).collect()]
+    place = F.pmod(F.xxhash64("__id", "__a"), F.lit(1 << 40))
+    some = rows.select(place.alias("p"), "__id", "__vec").filter(F.col("p") < math.ceil(min(1.0, 1.2 * SAMPLE / n) * (1 << 40))).limit(2 * SAMPLE).collect()
+    sample = [np.array(r["__vec"], float) for r in sorted(some, key=lambda r: (r["p"], r["__id"]))[:SAMPLE]]  # the same however the rows are partitioned
     dims = [len(v) for v in sample]
     if not dims:
         return 1.0
@@ -195,9 +204,11 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
     reach = _fit(index, n, k)
     bits = max(1, round(math.log2(max(2, n / BUCKET)) / 1.25))
     step, enough = width * reach, 1 - (1 - target) ** (1 / tables)
-    salts = 4
+    kind = df.schema[vec_col].dataType.simpleString()
+
+    def places(chance: float | None):
+        """Rows (bucket, number of the row, vector or null): of vectors without a chance, else of queries, which visit buckets up to it."""
 
-    def place(kind: int):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows, points in _by_dim(batch, 1):
@@ -205,41 +216,61 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id
                     for table in range(tables):
                         a, shift = projections(points.shape[1], table, bits)
                         position = points @ a.T / step + shift
-                        if kind:
-                            keys = _keys(points.shape[1], table, np.floor(position))
-                            salt = part.column(0).to_numpy() % salts
-                            yield _rows(keys * salts + salt, kind, part)
+                        if chance is None:
+                            yield _rows(_keys(points.shape[1], table, np.floor(position)), part)
                             continue
                         for i, p in enumerate(position):
-                            probes = np.floor(p) + np.array([o for _, o in probe_sequence(p, 1 / width, enough)])
-                            keys = np.repeat(_keys(points.shape[1], table, probes) * salts, salts) + np.tile(np.arange(salts), len(probes))
-                            yield _rows(keys, kind, part.take(pa.array(np.full(len(keys), i))))
+                            probes = np.floor(p) + np.array([o for _, o in probe_sequence(p, 1 / width, chance)])
+                            yield _rows(_keys(points.shape[1], table, probes), part.take(pa.array(np.full(len(probes), i))))
 
         return run
 
-    def _rows(keys: np.ndarray, kind: int, part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), kind, np.int32)), part.column(0), part.column(1)], ["__key", "__kind", "__id", "__vec"])
+    def _rows(keys: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), part.column(0), part.column(1)], ["__bucket", "__id", "__vec"])
 
-    kind = df.schema[vec_col].dataType.simpleString()
-    schema = f"__key long, __kind int, __id long, __vec {kind}"
-    found_schema = "__query long, __id long, __distance double"
+    schema, found_schema = f"__bucket long, __id long, __vec {kind}", "__query long, __id long, __distance double"
 
     def compare(probes: DataFrame, vectors: DataFrame) -> DataFrame:
-        return probes.unionByName(vectors).repartition("__key").sortWithinPartitions("__key", "__kind").mapInArrow(_rerank(k + 1), found_schema)
+        """Nearest of each query among the vectors with the same ``__key``."""
+        both = probes.select("__key", F.lit(0).alias("__kind"), "__id", "__vec").unionByName(vectors.select("__key", F.lit(1).alias("__kind"), "__id", "__vec"))
+        return both.repartition("__key").sortWithinPartitions("__key", "__kind").mapInArrow(_rerank(k + 1), found_schema)
+
+    vectors = index.select("__id", "__vec").mapInArrow(places(None), schema)
+    filled = cut(vectors.groupBy("__bucket").agg(F.count("*").alias("__m")))
+
+    def search_buckets(some: DataFrame, chance: float) -> DataFrame:
+        probes = some.select(F.col("__query").alias("__id"), F.col("__vec").cast(kind).alias("__vec")).mapInArrow(places(chance), schema)
+        asked_of = probes.groupBy("__bucket").agg(F.count("*").alias("__q"))
+        sizes = asked_of.join(filled, "__bucket").select("__bucket", F.ceil(F.col("__m") / SALT_ROWS).alias("__salts"), F.ceil(F.col("__q") / HELD_QUERIES).alias("__blocks"))
+        large = cut(sizes.filter("__salts > 1 OR __blocks > 1"))
+        spread = lambda count: F.sequence(F.lit(0).cast("long"), F.coalesce(count, F.lit(1).cast("long")) - 1)
+        own = lambda count: F.pmod(F.xxhash64("__id"), F.coalesce(count, F.lit(1)))
+        key = F.xxhash64("__bucket", F.col("__salt").cast("long"), F.col("__block").cast("long")).alias("__key")
+        left = join_small(probes, large, ["__bucket"], "left").withColumn("__block", own(F.col("__blocks"))).withColumn("__salt", F.explode(spread(F.col("__salts"))))
+        right = join_small(vectors, large, ["__bucket"], "left").withColumn("__salt", own(F.col("__salts"))).withColumn("__block", F.explode(spread(F.col("__blocks"))))
+        return compare(left.select(key, "__id", "__vec"), right.select(key, "__id", "__vec"))
 
     near = Window.partitionBy("__query").orderBy("__distance", "__id")
     top = lambda found: found.dropDuplicates(["__query", "__id", "__distance"]).withColumn("__n", F.row_number().over(near)).filter(F.col("__n") <= k + 1)
-    probes = points.select(F.col("__query").alias("__id"), F.col("__vec").cast(kind).alias("__vec")).mapInArrow(place(0), schema)
-    found = cut(top(compare(probes, index.select("__id", "__vec").mapInArrow(place(1), schema))))
-    few = cut(points.join(found.filter(F.col("__n") == min(n, k + 1)).select("__query"), "__query", "left_anti"))
+    found = cut(top(search_buckets(points, enough)))
+
+    def lacking() -> DataFrame:
+        return cut(points.join(found.filter(F.col("__n") == min(n, k + 1)).select("__query"), "__query", "left_anti"))
+
+    few = lacking()
+    if not few.isEmpty():  # further buckets, to a chance that leaves a tenth of what is left now
+        found = cut(top(found.drop("__n").unionByName(search_buckets(few, 1 - (1 - enough) / 10))))
+        few = lacking()
     missing = few.count()
-    if missing:  # against all rows, in blocks of queries and parts of the rows
-        blocks, pieces = math.ceil(missing / 1000), max(1, math.ceil(n / SALT_ROWS))
-        dim = F.size("__vec").cast("long") * 1_000_000
-        block = (F.pmod(F.xxhash64("__query"), F.lit(blocks)) * pieces).cast("long")
-        some = few.select(F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("p"), dim.alias("d"), block.alias("b"), F.col("__query").alias("__id"), F.col("__vec").cast(kind).alias("__vec")).selectExpr("d * 1000 + b + p AS __key", "0 AS __kind", "__id", "__vec")
-        dims = index.select(dim.alias("d"), F.pmod("__id", F.lit(pieces)).alias("p"), "__id", "__vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-        found = cut(top(found.drop("__n").unionByName(compare(some, dims.selectExpr("d * 1000 + b * %d + p AS __key" % pieces, "1 AS __kind", "__id", "__vec")))))
+    blocks, pieces = math.ceil(missing / ALL_QUERIES), max(1, math.ceil(n / ALL_ROWS))
+    for begin in range(0, blocks, ALL_BLOCKS):  # against all rows, in blocks of queries and parts of the rows
+        now = range(begin, min(blocks, begin + ALL_BLOCKS))
+        placed = lambda b, p: F.xxhash64(F.size("__vec").cast("long"), b.cast("long"), p.cast("long")).alias("__key")
+        block, part = F.pmod(F.xxhash64("__query"), F.lit(blocks)), F.pmod(F.xxhash64("__id"), F.lit(pieces))
+        some = few.withColumn("b", block).filter(F.col("b").isin(*now)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        all_rows = index.withColumn("b", F.explode(F.array(*map(F.lit, now)))).withColumn("p", part)
+        more = compare(some.select(placed(F.col("b"), F.col("p")), F.col("__query").alias("__id"), F.col("__vec").cast(kind).alias("__vec")), all_rows.select(placed(F.col("b"), F.col("p")), "__id", "__vec"))
+        found = cut(top(found.drop("__n").unionByName(more)))
     each = asked.select(F.col("__id").alias("query_id"), "__a", "__b").join(points.select("__a", "__b", "__query"), ["__a", "__b"]).join(found.drop("__n"), "__query").filter(F.col("__id") != F.col("query_id"))
     last = Window.partitionBy("query_id", "__a", "__b").orderBy("__distance", "__id")
     return each.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("__id").alias(id_col), F.col("__distance").alias("score"))
