@@ -206,17 +206,21 @@ class BpeTable:
 
     def encode_chunks(self, keys: list) -> list[bytes]:
         """The ids of chunks (see :mod:`.chunks`), each different pre-token merged once."""
-        pieces = [self._pre_tokens(chunk_text(k)) for k in keys]
         whole, known = self.whole, {}
-        names = list(set().union(*pieces))
+        # a chunk of letters is a pre-token with the blank before it; the others are taken apart
+        words = [k for k in keys if type(k) is str and k.isalpha()] if self.plain_words else []
+        single = set(words)
+        pieces = {k: self._pre_tokens(chunk_text(k)) for k in keys if k not in single}
+        names = list(set().union([" " + w for w in words], *pieces.values()))
         rows = [n.encode() for n in names]
-        for name, row in zip(names, rows, strict=True):
+        for name, row in zip(names, rows, strict=True) if whole else ():
             if row in whole:
                 known[name] = whole[row].to_bytes(4, "little")
-        left = [i for i, n in enumerate(names) if n not in known]
+        left = [i for i, n in enumerate(names) if n not in known] if known else range(len(names))
         known.update(zip([names[i] for i in left], self.merge_rows([rows[i] for i in left]), strict=True))
         get = known.__getitem__
-        return [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in pieces]
+        taken = {k: get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for k, p in pieces.items()}
+        return [taken[k] if k in taken else get(" " + k) for k in keys]
 
     def _pre_tokens(self, text: str) -> list[str]:
         """What the pattern finds; words, and words before a mark, without asking it."""

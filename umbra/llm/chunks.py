@@ -18,8 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time within an Arrow batch, and bytes that a cache may hold.
-SUB_BATCH_BYTES = 1_500_000
-CACHE_BYTES = 40_000_000
+SUB_BATCH_BYTES = 3_000_000
+CACHE_BYTES = 80_000_000
 #: What an entry takes besides its characters and its value: two objects' heads and a place in the table.
 _ENTRY_BYTES = 200
 #: Longer chunks are tokenised each time and never cached.
@@ -102,14 +102,15 @@ class ChunkCache:
             self.known, self.held = {}, 0
         known = self.known
         missing = list(dict.fromkeys(k for k in keys if k not in known))
-        known.update(zip(missing, self.encode(missing), strict=True))
+        made = list(self.encode(missing))
+        known.update(zip(missing, made, strict=True))
         out = list(map(known.__getitem__, keys))
-        for key in missing:
-            size = len(key if isinstance(key, str) else key[0])
-            if size > CACHED_CHARS:
-                del known[key]
-            else:
-                self.held += size + (len(known[key]) if isinstance(known[key], bytes) else 0) + _ENTRY_BYTES
+        sizes = [len(k) if isinstance(k, str) else len(k[0]) for k in missing]
+        self.held += sum(sizes) + _ENTRY_BYTES * len(missing) + (sum(map(len, made)) if made and isinstance(made[0], bytes) else 0)
+        if max(sizes, default=0) > CACHED_CHARS:
+            for key, size in zip(missing, sizes, strict=True):
+                if size > CACHED_CHARS:
+                    del known[key]
         return out
 
 
@@ -138,8 +139,9 @@ def sub_batches(batch: pa.RecordBatch, column: int, most: int = SUB_BATCH_BYTES)
         before = ends[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(begin, end - begin), texts.slice(begin, end - begin)
-        give_back()
         begin = end
+    del texts
+    give_back()
 
 
 def gather(values: list[bytes], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
