@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def once(df: DataFrame, name: str, column: Column) -> DataFrame:
     """``df`` with the column ``name``, computed once for each row whatever later filters and columns ask for it.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.config import Config
-from umbra.functions.text import once
+from umbra.functions.text import fresh, once
 from umbra.operators.detect import allow, detect
 from umbra.operators.python_rules import Backend, HttpBackend, placed, propose, regex_rule
 from umbra.operators.redact import TEMPLATE, formatted_splice, has_format_spec, numbered, placeholder, splice, suffixes
@@ -19,14 +19,6 @@ from umbra.operators.specs import DetectorSpec, active_specs
 Detector = Callable[[Column, int], Column]
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, or a longer one, that no column of ``df`` has."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 class Sanitizer:
     """Builds the plan for a configuration. Each method adds columns and keeps the others; nothing shuffles."""
 
