@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from umbra.plans.sanitize import fresh
+from umbra.functions.text import fresh
 
 __all__ = ["cut", "fresh", "join_small", "shared_folder", "small_enough"]
 
