@@ -6,7 +6,9 @@ only those first pieces need packing. Documents are dealt to islands of about
 donor's well-filled bins whole, the receiver's bins that shared a document go, and the
 documents that this displaces are best-fitted, longest first. Then its elite bins, as lists
 of lengths, migrate to the next island, which rebuilds them from its own documents of these
-lengths and breeds on.
+lengths and breeds on. At last the emptiest bins of ``POOL`` islands at a time, a bounded number of
+documents, make an island of their own, and again, until one is left: so part-filled
+sequences do not add up over the islands.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,9 @@ from .shared import cut
 ISLAND = 2000
 POPULATION, GENERATIONS, ELITES = 4, 6, 64
 WELL_FILLED = 0.98
+#: Islands whose emptiest bins are packed together, and documents that each gives.
+POOL = 64
+GIVEN = ISLAND // POOL
 
 
 def tokenize(df: DataFrame, path: str, pattern: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -170,6 +176,17 @@ def evolve(length: list[int], capacity: int, seed: int, start: list[list[int]] |
     return max(people, key=score)
 
 
+def emptiest(bins: list[list[int]], length: list[int], most: int) -> list[int]:
+    """Numbers of the emptiest bins that together hold at most ``most`` items."""
+    out, held = [], 0
+    for k in sorted(range(len(bins)), key=lambda k: (sum(length[i] for i in bins[k]), k)):
+        held += len(bins[k])
+        if held > most:
+            break
+        out.append(k)
+    return out
+
+
 def pack(tokenized: DataFrame, capacity: int, id_col: str = "doc_id", island: int = ISLAND, seed: int = 7) -> DataFrame:
     """Packs what :func:`tokenize` made; a row for each piece.
 
@@ -182,13 +199,23 @@ def pack(tokenized: DataFrame, capacity: int, id_col: str = "doc_id", island: in
     with_ids = "__ids" in docs.columns
     payload = ["__id", "__n", "__crcs"] + ["__ids"] * with_ids
     types = [docs.schema[id_col].dataType, T.LongType(), T.ArrayType(T.LongType())] + [T.ArrayType(T.IntegerType())] * with_ids
-    own = T.StructType([T.StructField(a, b) for a, b in zip(["__island", *payload, "__bin", "__pattern"], [T.LongType(), *types, T.LongType(), T.ArrayType(T.LongType())], strict=True)])
+    fields = [T.StructField("__island", T.LongType()), *map(T.StructField, payload, types)]
+    bred = T.StructType([*fields, T.StructField("__bin", T.LongType()), T.StructField("__pattern", T.ArrayType(T.LongType()))])
+    # where an item's first piece lies, the first sequence of its other pieces, and whether its bin may still change
+    placed = T.StructType([*fields, *(T.StructField(x, T.LongType()) for x in ("__bin", "__offset", "__rest")), T.StructField("__open", T.BooleanType())])
     dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(islands)).alias("__island"), F.col(id_col).alias("__id"), *payload[1:])
 
+    def lengths(group: pa.Table) -> list[int]:
+        return ((group.column("__n").to_numpy() - 1) % capacity + 1).tolist()
+
+    def held(group: pa.Table) -> list[list[int]] | None:
+        bins: dict[int, list[int]] = defaultdict(list)
+        for i, b in enumerate(group.column("__bin").to_pylist()):
+            bins[b].append(i)
+        return list(bins.values()) or None
+
     def first(group: pa.Table) -> pa.Table:
-        at = group.column("__island")[0].as_py()
-        length = (group.column("__n").to_numpy() - 1) % capacity + 1
-        length = length.tolist()
+        at, length = group.column("__island")[0].as_py(), lengths(group)
         best = evolve(length, capacity, seed + at)
         where = np.zeros(len(length), np.int64)
         for k, b in enumerate(best):
@@ -203,38 +230,64 @@ def pack(tokenized: DataFrame, capacity: int, id_col: str = "doc_id", island: in
         columns["__pattern"] = pa.array([sorted((length[i] for i in b), reverse=True) for b in elite], patterns)
         return pa.concat_tables([out, pa.table(columns)])
 
-    names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
-    result = T.StructType([T.StructField(a, b) for a, b in zip(names, [types[0], T.IntegerType(), *[T.LongType()] * 5, *types[3:]], strict=True)])
+    def settled(group: pa.Table, best: list[list[int]], length: list[int], level: int, last: bool) -> pa.Table:
+        """``group`` with each item's place; sequences are numbered by level, island and place."""
+        at = group.column("__island")[0].as_py()
+        number = level << 60 | at << 30
+        bin_, offset, may_change = (np.zeros(len(length), np.int64) for _ in range(3))
+        for k, b in enumerate(best):
+            bin_[b] = number + k
+            offset[b] = np.cumsum([0, *(length[i] for i in b[:-1])])
+        for k in [] if last else emptiest(best, length, GIVEN):
+            may_change[best[k]] = 1
+        if "__rest" in group.column_names:
+            rest = group.column("__rest")
+        else:
+            more = (group.column("__n").to_numpy() - 1) // capacity
+            rest = pa.array(number + len(best) + np.cumsum(more) - more)
+        return pa.table([group.column(f.name) for f in fields] + [pa.array(bin_), pa.array(offset), rest, pa.array(may_change.astype(bool))], placed.names)
 
     def second(group: pa.Table) -> pa.Table:
         at = group.column("__island")[0].as_py()
         guests = sorted(tuple(p) for p in group.column("__pattern").drop_null().to_pylist())
         group = group.filter(pc.is_valid(group.column("__bin")))
-        total = group.column("__n").to_pylist()
-        length = [(x - 1) % capacity + 1 for x in total]
-        bins: dict[int, list[int]] = defaultdict(list)
-        for i, b in enumerate(group.column("__bin").to_pylist()):
-            bins[b].append(i)
-        best = evolve(length, capacity, seed + at + islands, list(bins.values()) or None, guests)
-        crcs = group.column("__crcs").to_pylist()
-        rows: list[tuple[int, int, int, int, int, int, int]] = []  # item, piece, start, length, CRC-32, sequence, offset
-        number = at << 32
-        for b in best:
-            offset = 0
-            for i in b:
-                rows.append((i, 0, 0, length[i], crcs[i][0], number, offset))
-                offset += length[i]
-            number += 1
-        for i, x in enumerate(total):
-            for piece, (begin, end) in enumerate(piece_bounds(x, capacity)):
-                if piece:
-                    rows.append((i, piece, begin, end - begin, crcs[i][piece], number, 0))
-                    number += 1
-        columns = np.array(rows, np.int64).reshape(-1, 7).T
-        out = [group.column("__id").take(pa.array(columns[0])), pa.array(columns[1].astype(np.int32)), *(pa.array(c) for c in columns[2:])]
-        if with_ids:
-            all_ids = group.column("__ids").to_pylist()
-            out.append(pa.array([all_ids[r[0]][r[2] : r[2] + r[3]] for r in rows], pa.list_(pa.int32())))
-        return pa.table(out, names)
-
-    return dealt.groupBy("__island").applyInArrow(first, own).groupBy("__island").applyInArrow(second, result)
+        length = lengths(group)
+        best = evolve(length, capacity, seed + at + islands, held(group), guests)
+        return settled(group, best, length, 0, islands == 1)
+
+    def pooled(level: int, last: bool):
+        def run(group: pa.Table) -> pa.Table:
+            length = lengths(group)
+            best = evolve(length, capacity, seed + level + group.column("__island")[0].as_py(), held(group))
+            return settled(group, best, length, level, last)
+
+        return run
+
+    table, groups, level, done = cut(dealt.groupBy("__island").applyInArrow(first, bred).groupBy("__island").applyInArrow(second, placed)), islands, 0, []
+    while groups > 1:
+        groups, level = math.ceil(groups / POOL), level + 1
+        done.append(table.filter("NOT __open"))
+        again = table.filter("__open").withColumn("__island", F.expr(f"__island div {POOL}"))
+        table = cut(again.groupBy("__island").applyInArrow(pooled(level, groups == 1), placed))
+    done.append(table)
+
+    names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
+    result = T.StructType([T.StructField(a, b) for a, b in zip(names, [types[0], T.IntegerType(), *[T.LongType()] * 5, *types[3:]], strict=True)])
+
+    def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, bins, offsets, rests = (batch.column(i).to_numpy() for i in (1, len(payload), len(payload) + 1, len(payload) + 2))
+            bounds = [piece_bounds(n, capacity) for n in total.tolist()]
+            size = np.array([len(b) for b in bounds], np.int64)
+            item = np.repeat(np.arange(len(size)), size)
+            piece = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            begin, end = np.array([x for b in bounds for x in b], np.int64).reshape(-1, 2).T
+            sequence, offset = np.where(piece == 0, bins[item], rests[item] + piece - 1), np.where(piece == 0, offsets[item], 0)
+            out = [batch.column(0).take(pa.array(item)), pa.array(piece.astype(np.int32)), pa.array(begin), pa.array(end - begin), batch.column(2).flatten(), pa.array(sequence), pa.array(offset)]
+            if with_ids:
+                ids = batch.column(3).to_pylist()
+                out.append(pa.array([ids[i][a:b] for i, a, b in zip(item.tolist(), begin.tolist(), end.tolist(), strict=True)], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    whole = reduce(DataFrame.unionByName, done)
+    return whole.select(*payload, "__bin", "__offset", "__rest").mapInArrow(pieces, result)
