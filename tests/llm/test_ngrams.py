@@ -77,6 +77,20 @@ def test_without_first_candidates(spark, monkeypatch):
     assert clustered(spark, rows) == brute(rows)
 
 
+def test_large_groups_by_rarer_words(spark, monkeypatch):
+    """Groups of more than a few nodes are not compared; their nodes emit other words."""
+    monkeypatch.setattr(ngrams, "HOT", 3)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(80)]
+    rows = corpus(4, 120)
+    for i in range(60):  # a long passage and a little of their own: unlinked, but with words in common
+        own = [f"o{i}x{k}" for k in range(rng.choice([30, 40, 60]))]
+        rows.append((1000 + i, " ".join(passage + own)))
+        if i % 3 == 0:
+            rows.append((2000 + i, " ".join(passage + own[:-1] + ["z"])))
+    assert clustered(spark, rows) == brute(rows)
+
+
 def test_chain_of_edits(spark):
     words = [f"v{i}" for i in range(300)]
     rows = []

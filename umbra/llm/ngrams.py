@@ -31,7 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import sub_batches
@@ -44,6 +44,8 @@ BAND = 1.5
 #: Members of a block in which sketches are compared, and pairs that one task verifies against a document.
 BLOCK, SALT = 512, 500
 SUB_BATCH = 1_500_000
+#: Nodes of a group up to which all its pairs may be compared; beyond, its nodes emit rarer words instead.
+HOT = 20_000
 #: Seed of the second hash of a set.
 _CHECK = 0x2545F491
 #: Names of sets that a task remembers, so as not to emit copies' words again.
@@ -123,6 +125,18 @@ def _edges(most: int) -> np.ndarray:
 
 def signatures(hashes: np.ndarray, sizes: np.ndarray, names: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(keys, names): the words that each set emits."""
+    for keys, which, _, order, need in all_words(hashes, sizes, percent):
+        # where few words hold anything, the empty ones come after them
+        begin = np.searchsorted(which, np.arange(len(sizes)))
+        keep = np.arange(len(which)) - begin[which] < need
+        yield keys[keep], names[which[keep]]
+
+
+def all_words(hashes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, sets, bands, order, need) of all words of the sets, a band at a time: by set and ``order``, of which a set emits the first ``need`` words.
+
+    Empty words come last, and only for sets with fewer others than they need.
+    """
     starts = np.cumsum(sizes) - sizes
     for which, band, places, different in bands(sizes, percent):
         if not len(which):
@@ -138,15 +152,20 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, names: np.ndarray, percent
         slot, value = slot[order], mix(h)[order]
         heads = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
         word, slot = np.bitwise_xor.reduceat(value, heads), slot[heads]
-        set_ = slot // width
-        begin = np.searchsorted(set_, np.arange(len(which)))
-        keep = np.arange(len(set_)) - begin[set_] <= different[set_]
-        salt = mix((band[set_] << 32 | slot % width).astype(np.uint64))
-        yield mix(word ^ salt)[keep].view(np.int64), names[which][set_[keep]]
+        set_, at = slot // width, slot % width
+        key = mix(word ^ mix((band[set_] << 32 | at).astype(np.uint64))).view(np.int64)
         filled = np.bincount(set_, minlength=len(which))
-        for i in np.flatnonzero(filled <= different):
-            empty = np.setdiff1d(np.arange(places[i]), slot[set_ == i] % width)
-            yield mix(mix((band[i] << 32 | empty).astype(np.uint64))).view(np.int64), np.full(len(empty), names[which[i]])
+        poor = np.flatnonzero(filled <= different)
+        empty = [np.setdiff1d(np.arange(places[i]), at[set_ == i]) for i in poor]
+        own = np.repeat(poor, [len(e) for e in empty])
+        free = np.concatenate([*empty, np.zeros(0, np.int64)]).astype(np.int64)
+        set_, at = np.concatenate([set_, own]), np.concatenate([at, free + width])
+        key = np.concatenate([key, mix(mix((band[own] << 32 | free).astype(np.uint64))).view(np.int64)])
+        if len(own):
+            order = np.lexsort((at, set_))
+            key, set_, at = key[order], set_[order], at[order]
+        need = np.where(filled <= different, places, different + 1)
+        yield key, which[set_], band[set_], at, need[set_]
 
 
 def bit_sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -398,26 +417,61 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
     tested = cut(first.select(F.least("node", "star").alias("node"), F.greatest("node", "star").alias("star")).distinct())
     parts = linked(tested)
 
-    def across(keys: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs of different components in the groups ``keys``."""
+    def across(keys: DataFrame, nearest: bool, most: int | None = None) -> DataFrame:
+        """Pairs of different components in the groups ``keys``, those of more than ``most`` nodes left out."""
         placed = cut(keys.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("c <> d").select("key", "blocks")
+        mixed = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("m")).filter("c <> d")
+        mixed = mixed.filter(F.col("m") <= (most or 1 << 62)).select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
         own = join_small(placed, cut(mixed), ["key"], "inner").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         spread = own.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         spread = spread.join(sized, "node").select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "component", "n", "sketch")
         return cut(spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_across(percent, nearest), "key long, node long, star long, gap double").distinct())
 
-    found = across(groups, True)
+    def rarer(nodes_: DataFrame, hot: DataFrame) -> DataFrame:
+        """Groups of ``nodes_`` by other words: those in ``hot`` groups, and others as frequent among these nodes, come last.
+
+        Any order of the words that all sets share serves the pigeonhole principle as well as that of their places.
+        """
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, some in sub_batches(batch, 1, SUB_BATCH):
+                    hashes, sizes = shingles(some, words)
+                    own = rows.column(0).to_numpy()
+                    for key, set_, band, order, need in all_words(hashes, sizes, percent):
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[set_]), pa.array(band), pa.array(order), pa.array(need)], ["key", "node", "band", "place", "need"])
+
+        wanted = cut(nodes_.join(rooted, "node").select("node", "__a", "__b"))
+        held = join_small(texts, wanted, ["__a", "__b"], "inner").select("node", "__text")
+        every = cut(held.mapInArrow(run, "key long, node long, band long, place long, need long").distinct())  # rows that repeat are one
+        often = every.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > HOT).select("key")
+        late = cut(often.union(hot).distinct().withColumn("late", F.lit(1)))
+        rank = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.col("late").asc_nulls_first(), "place"))
+        first = join_small(every, late, ["key"], "left").withColumn("rank", rank).filter("rank <= need").select("key", "node")
+        return cut(first.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_groups, "key long, node long"))
+
+    found = across(groups, True, HOT)
     if not found.isEmpty():
         ends = found.select("node", "star", "gap").union(found.select(F.col("star"), F.col("node"), "gap")).toDF("node", "star", "gap")
         near = ends.groupBy("node").agg(F.min_by("star", F.struct("gap", "star")).alias("star"))
         near = near.select(F.least("node", "star").alias("node"), F.greatest("node", "star").alias("star")).distinct()
         near = cut(near.join(tested, ["node", "star"], "left_anti"))
         parts, tested = linked(near, parts), tested.union(near)
-        rest = across(groups.join(found.select("key").distinct(), "key", "left_semi"), False)
+        rest = across(groups.join(found.select("key").distinct(), "key", "left_semi"), False, HOT)
         rest = cut(rest.select("node", "star").distinct().join(tested, ["node", "star"], "left_anti"))
         if not rest.isEmpty():
-            parts = linked(rest, parts)
+            parts, tested = linked(rest, parts), tested.union(rest)
+    large = cut(groups.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > HOT).select("key"))
+    if not large.isEmpty():
+        within = join_small(groups, large, ["key"], "inner").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = within.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").select("key")
+        hot = cut(mixed)
+        if not hot.isEmpty():
+            others = rarer(join_small(groups, hot, ["key"], "inner").select("node").distinct(), hot)
+            rest = across(others, False).select("node", "star").distinct()
+            rest = cut(rest.join(tested, ["node", "star"], "left_anti"))
+            if not rest.isEmpty():
+                parts = linked(rest, parts)
     return known, nodes, parts
 
 
