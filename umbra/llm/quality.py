@@ -185,7 +185,7 @@ def _judged(df: DataFrame, text_col: str, host_col: str, min_documents: int, max
     common = common_lines(df, text_col, host_col, min_documents)
     few = common.limit(most_held + 1).count() <= most_held
     if few:
-        held = np.sort(np.array([r[0] for r in common.collect()], np.int64))
+        held = np.sort(common.toArrow().column(0).to_numpy())
         shared = df.sparkSession.sparkContext.broadcast(held)
         table, mine = df.withColumn(extra := fresh(df, "__mine"), F.lit(None).cast("array<bigint>")), extra
     else:
