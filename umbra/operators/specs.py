@@ -56,7 +56,8 @@ class DetectorSpec:
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PHONE_TAIL = r"[\s.-]?\d{3,4}[\s.-]?\d{3,4}"
 
-# Names, labels, confidences and grammars of the detectors, in registry order.
+# Names, labels, confidences and grammars of the detectors, in registry order. Alternatives that share a part
+# are one (``rediss?``, the repeated part of a token), and secrets in a context have a group before them, which gives their offset.
 SPECS: tuple[DetectorSpec, ...] = (
     DetectorSpec("private_key_block", "Private Key", 1.0, r"(?s)-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----.*?-----END (?:[A-Z0-9 ]+ )?PRIVATE KEY-----", (("PRIVATE KEY-----",),)),
     DetectorSpec("jwt", "JSON Web Token (JWT)", 0.95, r"\beyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2}\b", (("eyJ",),)),
