@@ -16,12 +16,16 @@ lower bound of the symmetric difference.
 
 Equal sets are one node, named by a 64-bit hash; a second hash shows the names that different
 sets share (some at 10^10 sets), and those get other names. A set's text is fetched by the
-128-bit hash of a document's id and text, so null and repeated ids are like any others. In a group of nodes with an equal word only the pairs with its hub,
-the node that shares words with the most others, are candidates at first. In groups that then
-still hold several components, the bit sketches of different components are compared in
-blocks: each node is verified against the nearest, and in a last round every pair is that
-may link and still lies in different components. So groups of copies cost about as many pairs
-as they have members, and no link is lost. Nothing is collected to the driver.
+128-bit hash of a document's id and text, so null and repeated ids are like any others.
+
+In a group of nodes with an equal word only the pairs with its hub, the node that shares words
+with the most others, are candidates at first. In groups that then still hold several components,
+the bit sketches of different components are compared in blocks: each node is verified against the
+nearest, and in a last round every pair is that may link and still lies in different components.
+Groups of more than ``HOT`` nodes, as a passage in very many texts makes them, are not compared:
+their nodes emit words anew, those of such groups last, which other sets they may link with do
+too. So groups of copies cost about as many pairs as they have members, and no link is lost.
+Nothing is collected to the driver.
 """
 
 from __future__ import annotations
